@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trendspark.functions.arrays import by_topic, of_topic
+from trendspark.scratch import cut
+
 # fixed values
 COSINE_WEIGHT = 0.3
 JS_WEIGHT = 0.7
@@ -23,14 +26,13 @@ def topic_mass(distribution: DataFrame) -> DataFrame:
 
 def pair_sums(distribution: DataFrame, mass: DataFrame) -> DataFrame:
     """(category, i, j, dot, overlap) for i < j with a shared paper."""
-    masses = mass.where("mass > 0").groupBy("category").agg(
-        F.map_from_entries(F.collect_list(F.struct("topic", "mass"))).alias("_mass"))
+    masses = cut(by_topic(mass.where("mass > 0"), "mass", "_mass"), "topic-mass")
     rows = (distribution.where("p > 0")
             .groupBy("category", "paper_id").agg(F.collect_list(F.struct("topic", "p")).alias("_items"))
             .join(masses, "category")
             .select("category", F.transform("_items", lambda x: F.struct(
                 x["topic"].alias("topic"), x["p"].alias("p"),
-                (x["p"] / F.col("_mass")[x["topic"]]).alias("q"))).alias("_items")))
+                (x["p"] / of_topic("_mass", x["topic"])).alias("q"))).alias("_items")))
     pairs = (rows.select("category", "_items", F.explode("_items").alias("a"))
              .select("category", "a", F.explode("_items").alias("b"))
              .where(F.col("a.topic") < F.col("b.topic")))

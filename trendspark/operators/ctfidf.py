@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendspark.functions.arrays import by_topic, of_topic
 from trendspark.functions.text import NGRAM_MAX, kept_tokens, spans
+from trendspark.scratch import cut
 
 
 def classed_texts(texts: DataFrame, assignments: DataFrame) -> DataFrame:
@@ -77,17 +79,30 @@ def idf(f, average):
 
 
 def scored(vocabulary: DataFrame) -> DataFrame:
-    """(category, term, idf, weights): weights is array of (topic, tf, score), score = tf share x idf."""
+    """(category, term, df, f, idf, weights): weights is array of (topic, tf, score), score = tf share x idf.
+
+    The class totals are written first: a table of known small size, which Spark then
+    broadcasts by itself instead of shuffling the vocabulary by category.
+    """
     totals = class_totals(vocabulary)
-    per_category = totals.groupBy("category").agg(
-        F.max("average").alias("average"),
-        F.map_from_entries(F.collect_list(F.struct("topic", "total"))).alias("_totals"))
-    joined = vocabulary.join(per_category, "category").withColumn("idf", idf(F.col("f"), F.col("average")))
+    per_category = by_topic(totals, "total", "_totals").join(
+        totals.groupBy("category").agg(F.max("average").alias("_average")), "category")
+    joined = vocabulary.join(cut(per_category, "class-totals"), "category").withColumn(
+        "idf", idf(F.col("f"), F.col("_average")))
     return joined.select(
         "category", "term", "df", "f", "idf",
         F.transform("postings", lambda p: F.struct(
             p["topic"].alias("topic"), p["tf"].alias("tf"),
-            (p["tf"] / F.col("_totals")[p["topic"]] * F.col("idf")).alias("score"))).alias("weights"))
+            (p["tf"] / of_topic("_totals", p["topic"]) * F.col("idf")).alias("score"))).alias("weights"))
+
+
+def fit(texts: DataFrame, assignments: DataFrame, parameters: DataFrame, stop_words: Sequence[str] = (),
+        longest: int = NGRAM_MAX, df_scope: str = "topic") -> DataFrame:
+    """The scored vocabulary of all categories. Counting is done once, into a written table."""
+    classed = classed_texts(texts, assignments)
+    counts = class_term_counts(classed, stop_words, longest)
+    papers = paper_document_frequency(classed, stop_words, longest) if df_scope == "paper" else None
+    return scored(cut(postings(counts, cut(parameters, "parameters"), papers), "vocabulary"))
 
 
 def topic_terms(scores: DataFrame) -> DataFrame:

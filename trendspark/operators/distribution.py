@@ -18,7 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendspark.functions.arrays import by_topic, of_topic
 from trendspark.functions.text import NGRAM_MAX, kept_tokens, tokens
+from trendspark.scratch import cut
 
 # fixed values
 WINDOW = 4
@@ -37,25 +39,24 @@ def _occurrences(kept: Column, count: Column, longest: int, window: int) -> Colu
     def held(first: Column, last: Column):
         return F.greatest(last - F.lit(window - 1), F.lit(0)), F.least(first, last_start)
 
-    parts = []
-    for n in range(1, longest + 1):
+    def found(n: int, back: int) -> Column:
+        def entry(k: Column) -> Column:
+            lo, hi = held(kept[k - F.lit(back)]["at"], kept[k + F.lit(n - 1)]["at"])
+            return F.struct(word(k, n).alias("term"), lo.alias("lo"), hi.alias("hi"),
+                            F.lit(back == 0).alias("once"))
+
+        def repeats(k: Column) -> Column:
+            same = k >= back
+            for j in range(n):
+                same = same & (kept[k + F.lit(j)]["word"] == kept[k + F.lit(j - back)]["word"])
+            return same
+
         starts = F.coalesce(
             F.when(F.size(kept) >= n, F.sequence(F.lit(0), F.size(kept) - F.lit(n))),
             F.array().cast("array<int>"))
-        for back in range(0, window - n + 1):
-            def entry(k, n=n, back=back):
-                lo, hi = held(kept[k - F.lit(back)]["at"], kept[k + F.lit(n - 1)]["at"])
-                return F.struct(word(k, n).alias("term"), lo.alias("lo"), hi.alias("hi"),
-                                F.lit(back == 0).alias("once"))
-            if back:
-                def equal(k, n=n, back=back):
-                    same = k >= back
-                    for j in range(n):
-                        same = same & (kept[k + F.lit(j)]["word"] == kept[k + F.lit(j - back)]["word"])
-                    return same
-                parts.append(F.transform(F.filter(starts, equal), entry))
-            else:
-                parts.append(F.transform(starts, entry))
+        return F.transform(F.filter(starts, repeats) if back else starts, entry)
+
+    parts = [found(n, back) for n in range(1, longest + 1) for back in range(max(window - n + 1, 1))]
     return F.filter(F.concat(*parts), lambda o: o["lo"] <= o["hi"])
 
 
@@ -77,13 +78,13 @@ def topic_weights(scores: DataFrame) -> DataFrame:
     """(category, term, idf, weights) with idf x score / topic norm for the topics from 0 on."""
     norms = (scores.select("category", F.explode("weights").alias("_w")).where("_w.topic >= 0")
              .groupBy("category", "_w.topic").agg(F.sqrt(F.sum(F.col("_w.score") * F.col("_w.score"))).alias("norm"))
-             .where("norm > 0")
-             .groupBy("category").agg(F.map_from_entries(F.collect_list(F.struct("topic", "norm"))).alias("_norms")))
-    inside = scores.join(norms, "category")
-    return inside.select("category", "term", "idf", F.transform(
-        F.filter("weights", lambda w: (w["topic"] >= 0) & F.map_contains_key(F.col("_norms"), w["topic"])),
-        lambda w: F.struct(w["topic"].alias("topic"),
-                           (F.col("idf") * w["score"] / F.col("_norms")[w["topic"]]).alias("v"))).alias("weights"))
+             .where("norm > 0"))
+    inside = scores.join(cut(by_topic(norms, "norm", "_norms"), "topic-norms"), "category")
+    scaled = F.transform("weights", lambda w: F.struct(
+        w["topic"].alias("topic"),
+        (F.col("idf") * w["score"] / of_topic("_norms", w["topic"])).alias("v")))
+    return inside.select("category", "term", "idf",
+                         F.filter(scaled, lambda w: w["v"].isNotNull() & (w["topic"] >= 0)).alias("weights"))
 
 
 def window_similarities(occurrences: DataFrame, weights: DataFrame) -> DataFrame:
@@ -101,8 +102,7 @@ def window_similarities(occurrences: DataFrame, weights: DataFrame) -> DataFrame
         "category", "paper_id", "lo", "hi", parts.alias("_parts"))
     rows = (joined.repartition("category", "paper_id")
             .select("category", "paper_id", "lo", "hi", F.explode("_parts").alias("_part"))
-            .groupBy("category", "paper_id", "lo", "hi", "_part.topic").agg(F.sum("_part.v").alias("v"))
-            .select("category", "paper_id", "topic", "v", F.explode(F.sequence("lo", "hi")).alias("win")))
+            .select("category", "paper_id", "_part.topic", "_part.v", F.explode(F.sequence("lo", "hi")).alias("win")))
     sums = rows.groupBy("category", "paper_id", "win", "topic").agg(F.sum("v").alias("v"))
     of_window = sums.groupBy("category", "paper_id", "win").agg(
         F.max(F.when(F.col("topic") == NORM, F.col("v"))).alias("square"),
