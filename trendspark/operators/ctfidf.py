@@ -106,9 +106,9 @@ def fit(texts: DataFrame, assignments: DataFrame, parameters: DataFrame, stop_wo
 
 
 def topic_terms(scores: DataFrame) -> DataFrame:
-    """(category, topic, term, tf, score), one row per posting."""
-    return (scores.select("category", "term", F.explode("weights").alias("_w"))
-            .select("category", "_w.topic", "term", "_w.tf", "_w.score"))
+    """(category, topic, term, tf, idf, score), one row per posting."""
+    return (scores.select("category", "term", "idf", F.explode("weights").alias("_w"))
+            .select("category", "_w.topic", "term", "_w.tf", "idf", "_w.score"))
 
 
 def top_terms(terms: DataFrame, n: int, score: str = "score", digits: int | None = None) -> DataFrame:
