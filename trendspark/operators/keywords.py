@@ -27,7 +27,7 @@ def daily_counts(papers: DataFrame, bridge: DataFrame, stop_words: Sequence[str]
         return F.transform(kept, lambda token: F.struct(
             token["word"].alias("token"), F.lit(in_title).alias("in_title")))
 
-    split = papers.join(names, "paper_id").select(
+    split = papers.repartition("paper_id").join(names, "paper_id").select(
         "published", "_names", F.concat(words("title", 1), words("abstract", 0)).alias("_words"))
     rows = (split.select("published", "_names", F.explode("_words").alias("_word"))
             .select("published", F.explode("_names").alias("category"), "_word.token", "_word.in_title"))
