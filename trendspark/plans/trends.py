@@ -37,7 +37,7 @@ def build_reports(papers: DataFrame, model: dict[str, DataFrame], moment: Column
 def write_reports(spark: SparkSession, papers: DataFrame, model: dict[str, DataFrame], path: str, moment: Column,
                   stop_words: Sequence[str] = (), longest: int = NGRAM_MAX) -> DataFrame:
     """Adds the missing categories below ``path`` and returns (category, value) of all reports."""
-    todo = cut(pending(papers.select("category").distinct(), tables.finished_categories(spark, path)), "todo")
+    todo = cut(pending(papers.select("category").distinct(), tables.finished_categories(spark, path, "text")), "todo")
     open_papers = papers.join(todo, "category", "left_semi")
     open_model = {name: df.join(todo, "category", "left_semi") for name, df in model.items()}
     report.write_json(build_reports(open_papers, open_model, moment, stop_words, longest), path)

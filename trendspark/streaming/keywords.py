@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,15 +17,12 @@ from trendspark.operators import keywords
 from trendspark.schema import KEYWORDS
 from trendspark.scratch import cut
 from trendspark.sources import landing
-from trendspark.sources.store import lower_categories, one_per_id, unseen
+from trendspark.sources.store import lower_categories, one_per_id, read_or_empty, unseen
 from trendspark.streaming.ingest import landing_stream
 
 
 def counted_ids(spark: SparkSession, root: str, except_batch: int | None = None) -> DataFrame:
-    try:
-        ids = spark.read.parquet(f"{root}/ids")
-    except AnalysisException:
-        return spark.createDataFrame([], "arxiv_id string")
+    ids = read_or_empty(spark, f"{root}/ids", "arxiv_id string, batch_id int")
     if except_batch is not None:
         ids = ids.where(F.col("batch_id") != except_batch)
     return ids.select("arxiv_id")
