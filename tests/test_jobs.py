@@ -112,7 +112,7 @@ def test_whole_run(spark, jobs):
     model = train.fit_topics(papers, vectors, encode.HashingEncoder(64), ["the", "of"], assignments=topics)
     root = str(base / "model")
     store.save_tables(model, root)
-    model = store.load_tables(spark, root, train.TABLES)
+    model = store.load_tables(spark, root, train.SCHEMAS)
     out = str(base / "reports")
     moment = F.lit("2025-09-18 01:02:03").cast("timestamp")
     reports = {r.category: json.loads(r.value)

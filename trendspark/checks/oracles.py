@@ -354,6 +354,54 @@ def oracle_sql() -> dict[str, str]:
             left join (select category, topic, {name} name_ from (
                 select distinct category, topic from assign where topic <> -1) s) n
               on n.category = a.category and n.topic = a.topic"""),
+        "nearest_neighbours": _with(["bridge"], """
+            select category, paper_id, neighbor_id, cast(rank_ as int) as "rank", round(distance, 6) distance from (
+              select category, paper_id, neighbor_id, distance,
+                     row_number() over (partition by category, paper_id order by distance, neighbor_id) rank_ from (
+                select x.category, x.paper_id, y.paper_id neighbor_id,
+                       round(1 - list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v) * list_dot_product(y.v, y.v)), 9) distance
+                from points x join points y on x.category = y.category and x.paper_id <> y.paper_id))
+            where rank_ <= 10""", """
+            points as materialized (select category, paper_id, cast(embedding as double[]) v
+              from bridge join embeddings on vec_id = paper_id)"""),
+        "core_distances": """
+            with points as (select vec_id id, cast(embedding as double[]) v from embeddings),
+            m as (select greatest(1, least(count(*) - 1, floor(floor(sqrt(count(*))) / 1.5::double))) m from points)
+            select 'all' category, id paper_id, round(round(d, 9), 6) core from (
+              select x.id, list_distance(x.v, y.v) d,
+                     row_number() over (partition by x.id order by list_distance(x.v, y.v)) k
+              from points x join points y on x.id <> y.id), m where k = m.m""",
+        "soft_membership": _with(["assign"], """
+            select category, paper_id, topic, round(w / sum(w) over (partition by category, paper_id), 6) p from weights""", """
+            cells as materialized (select a.category, a.paper_id, a.topic, i, x from assign a join (
+                select vec_id, generate_subscripts(embedding, 1) i, cast(unnest(embedding) as double) x from embeddings) e
+              on e.vec_id = a.paper_id),
+            centres as materialized (select category, topic, i, avg(x) m from cells group by all),
+            weights as (select c.category, c.paper_id, t.topic, exp(-sqrt(sum((c.x - t.m) * (c.x - t.m)))) w
+              from cells c join centres t on t.category = c.category and t.i = c.i group by all)"""),
+        "text_embeddings": _with(["papers"], """
+            select paper_id, 64 dim, 1.0::double length from papers"""),
+        "stored_embeddings": _with(["bridge"], """
+            select category, paper_id, cast(len(embedding) as int) dim, round(cast(embedding[1] as double), 6) as "first"
+            from bridge join embeddings on vec_id = paper_id"""),
+        "trend_reports": _with(["topw", "stored", "texts", "topics"], f"""
+            select m.category, m.papers, m."months", cast(t.n as int) topics, t.names, coalesce(s.shown, md5('')) shown,
+                   '2025-09-18T01:02:03Z' updated, m."start", m."end"
+            from (select category, count(*) papers, cast(count(distinct strftime(published, '%Y-%m')) as int) as "months",
+                         strftime(min(published), '%Y-%m') as "start", strftime(max(published), '%Y-%m') as "end"
+                  from bridge join papers using (paper_id) group by category) m
+            join (select category, count(*) n, md5(string_agg(name_, '|' order by name_)) names from (
+                    select category, {name} name_ from topics s) group by category) t using (category)
+            left join (select s.category, md5(string_agg(p.arxiv_id, '|' order by p.arxiv_id)) shown
+                  from stored s join texts t using (paper_id)
+                  join (select txt, max(paper_id) last_id from texts group by txt) l on l.txt = t.txt
+                  join papers p on p.paper_id = l.last_id where s.topic >= 0 group by s.category) s using (category)"""),
+        "streamed_ingest": _with(["bridge"], """
+            select arxiv_id, published, category from papers join bridge using (paper_id)"""),
+        "streamed_keywords": _with(["kw"], """
+            select token, category, cast(sum(title_count) as bigint) title_count,
+                   cast(sum(abstract_count) as bigint) abstract_count, cast(sum("count") as bigint) as "count"
+            from kw group by token, category"""),
         "deep_slice": """
             select event_id, user_id, event_type from events order by user_id, event_id offset 100""",
     }

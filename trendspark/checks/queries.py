@@ -16,10 +16,15 @@ from trendspark.functions import dates
 from trendspark.functions.ordering import slice_rows
 from trendspark.functions.sizing import corpus_parameters
 from trendspark.functions.text import explode_spans, tokens
-from trendspark.operators import correlate, ctfidf, distribution, keywords, listing, report, represent
+from trendspark.operators import (cluster, correlate, ctfidf, distribution, graph, keywords, listing, neighbors,
+                                  reduce, report, represent)
+from trendspark.operators.encode import HashingEncoder
+from trendspark.plans import embed, train, trends
 from trendspark.scratch import cut, scratch_path
 from trendspark.sources import catalog, landing, store, testtables
 from trendspark.sources.testtables import table
+from trendspark.streaming import ingest as stream_ingest
+from trendspark.streaming import keywords as stream_keywords
 
 # fixed values
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "on", "for", "with", "that", "by", "this",
@@ -381,6 +386,153 @@ def deep_slice(spark: SparkSession, sf: str) -> DataFrame:
     return slice_rows(events, [F.col("user_id"), F.col("event_id")], offset=100)
 
 
+# ---- vectors, clusters, representations -----------------------------------------------
+
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    return testtables.bridge(spark, sf).join(testtables.vectors(spark, sf), "paper_id").select(
+        "category", "paper_id", F.col("embedding").alias("vector"))
+
+
+def nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbors.nearest(_points(spark, sf), 10).select(
+        "category", "paper_id", "neighbor_id", "rank", r6("distance").alias("distance"))
+
+
+def core_distances(spark: SparkSession, sf: str) -> DataFrame:
+    everything = testtables.vectors(spark, sf).select(
+        F.lit("all").alias("category"), "paper_id", F.col("embedding").alias("vector"))
+    limits = cluster.size_limits(corpus_parameters(everything))
+    samples = {name: v["samples"] for name, v in limits.items()}
+    return neighbors.core_distances(neighbors.nearest(everything, samples, "euclidean")).select(
+        "category", "paper_id", r6("core").alias("core"))
+
+
+def similarity_graph(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.similarity_graph(neighbors.nearest(_points(spark, sf), 10)).select(
+        "category", "a", "b", r6("weight").alias("weight"))
+
+
+def reduced_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return reduce.reduce_vectors(_points(spark, sf)).select(
+        "category", "paper_id", *[F.round(F.col("vector")[i], 6).alias(f"x{i}") for i in range(5)])
+
+
+def density_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    everything = testtables.vectors(spark, sf).select(
+        F.lit("all").alias("category"), "paper_id", F.col("embedding").alias("vector"))
+    return cluster.density_clusters(reduce.reduce_vectors(everything))
+
+
+def soft_membership(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster.soft_membership(_points(spark, sf), testtables.assignments(spark, sf)).select(
+        "category", "paper_id", "topic", r6("p").alias("p"))
+
+
+def text_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    encoded = embed.encode_papers(testtables.papers(spark, sf), HashingEncoder(64))
+    return encoded.select("paper_id", F.size("embedding").alias("dim"), F.round(F.aggregate(
+        "embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")), 4).alias("length"))
+
+
+def stored_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "embeddings")
+    store.write_by_category(_points(spark, sf).withColumnRenamed("vector", "embedding"), path)
+    return store.read_by_category(spark, path).select(
+        "category", "paper_id", F.size("embedding").alias("dim"),
+        r6(F.col("embedding")[0].cast("double")).alias("first"))
+
+
+def _context(spark: SparkSession, sf: str) -> represent.Context:
+    terms = ctfidf.topic_terms(cut(_scores(spark, sf), "scores"))
+    texts = testtables.texts(spark, sf)
+    encoder = HashingEncoder(256)
+    vectors = cut(encoder.encode(texts).select("paper_id", "embedding"), "vectors")
+    return represent.Context(texts, testtables.assignments(spark, sf), terms, vectors, encoder, None, STOP_WORDS)
+
+
+def embedding_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    context = _context(spark, sf)
+    return represent.run_chain(context, [represent.embedding_keywords()], represent.TOP_WORDS)
+
+
+def diverse_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    context = _context(spark, sf)
+    return represent.run_chain(context, [represent.diverse_keywords(top_n=5)])
+
+
+def keyword_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return represent.run_chain(_context(spark, sf), train.default_models())
+
+
+def _papers_by_category(spark: SparkSession, sf: str) -> DataFrame:
+    return cut(listing.extraction(testtables.papers(spark, sf).drop("categories"), testtables.bridge(spark, sf)), "papers")
+
+
+def topic_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole fit, clustering included, on text embeddings; the stored tables are read back."""
+    papers = _papers_by_category(spark, sf).where(F.col("category").startswith("doc."))
+    encoder = HashingEncoder(64)
+    vectors = papers.select("category", "paper_id").join(embed.encode_papers(papers, encoder), "paper_id")
+    path = scratch_path(spark, "model")
+    store.save_tables(train.fit_topics(papers, cut(vectors, "vectors"), encoder, STOP_WORDS), path)
+    return store.load_tables(spark, path, train.SCHEMAS)["topic_info"].select("category", "topic", "name", "count")
+
+
+def _reports(spark: SparkSession, sf: str) -> DataFrame:
+    terms = cut(_scores(spark, sf), "scores")
+    top = ctfidf.top_terms(ctfidf.topic_terms(terms), 10, digits=9).select("category", "topic", "rank", "term", "score")
+    model = {"vocabulary": terms, "assignments": testtables.assignments(spark, sf), "keywords": top,
+             "representative_docs": _stored_docs(spark, sf)}
+    moment = F.lit("2025-09-18 01:02:03").cast("timestamp")
+    return trends.write_reports(spark, _papers_by_category(spark, sf), model, scratch_path(spark, "reports"),
+                                moment, STOP_WORDS)
+
+
+def trend_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports as written and read back, by what can be told from the JSON itself."""
+    shape = ("topics struct<data: map<string, struct<name: string, count: long>>, "
+             "correlations: array<array<double>>, series: map<string, array<long>>, "
+             "papers: map<string, array<struct<title: string, year: string, arxiv_id: string>>>>, "
+             "metadata struct<lastUpdated: string, period: struct<start: string, end: string>>")
+    r = _reports(spark, sf).select("category", F.from_json("value", shape).alias("r"))
+    counts = F.aggregate(F.flatten(F.map_values("r.topics.series")), F.lit(0).cast("long"), lambda s, n: s + n)
+    names = F.array_sort(F.transform(F.map_values("r.topics.data"), lambda t: t["name"]))
+    ids = F.array_sort(F.transform(F.flatten(F.map_values("r.topics.papers")), lambda p: p["arxiv_id"]))
+    return r.select(
+        "category", counts.alias("papers"), F.size(F.map_keys("r.topics.series")).alias("months"),
+        F.size("r.topics.correlations").alias("topics"), F.md5(F.concat_ws("|", names)).alias("names"),
+        F.md5(F.concat_ws("|", ids)).alias("shown"), F.col("r.metadata.lastUpdated").alias("updated"),
+        F.col("r.metadata.period.start").alias("start"), F.col("r.metadata.period.end").alias("end"))
+
+
+# ---- streams --------------------------------------------------------------------------
+
+def _landed(spark: SparkSession, sf: str) -> str:
+    """Two overlapping backfills landed as files."""
+    path = scratch_path(spark, "landing")
+    raw = testtables.raw_papers(spark, sf)
+    for start, end in (FIRST_RUN, SECOND_RUN):
+        raw.where(F.to_date("published").between(start, end)).write.mode("append").parquet(path)
+    return path
+
+
+def streamed_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_path(spark, "stream")
+    stream_ingest.ingest_stream(spark, _landed(spark, sf), f"{root}/store", f"{root}/progress",
+                                files_per_batch=1).awaitTermination()
+    repo = store.PaperStore(spark, f"{root}/store")
+    return repo.papers().join(repo.bridge(), "paper_id").select("arxiv_id", "published", "category")
+
+
+def streamed_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_path(spark, "stream")
+    stream_keywords.keyword_stream(spark, _landed(spark, sf), f"{root}/counts", f"{root}/progress",
+                                   STOP_WORDS, files_per_batch=1).awaitTermination()
+    return stream_keywords.read_counts(spark, f"{root}/counts").groupBy("token", "category").agg(
+        F.sum("title_count").alias("title_count"), F.sum("abstract_count").alias("abstract_count"),
+        F.sum("count").alias("count"))
+
+
 REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     record_projection, day_window_scan, newest_first_scan, id_scan, scalar_category, paper_conversion,
     backfill_days, backfill_papers, register_unseen, register_two_runs, category_bridge, list_by_category,
@@ -391,6 +543,9 @@ REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     representative_docs, representative_papers, representative_table, topic_distribution, main_topics,
     topic_similarities, topic_correlations, correlation_range, text_topic_correlations, monthly_series,
     monthly_series_labels, monthly_series_orders, period_metadata, document_info, deep_slice,
+    nearest_neighbours, core_distances, similarity_graph, reduced_vectors, density_clusters, soft_membership,
+    text_embeddings, stored_embeddings, embedding_keywords, diverse_keywords, keyword_chain, topic_model,
+    trend_reports, streamed_ingest, streamed_keywords,
 ]
 
 
