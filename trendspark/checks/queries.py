@@ -207,7 +207,7 @@ def tokenised_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return explode_spans(testtables.texts(spark, sf), STOP_WORDS).groupBy("paper_id", "n").agg(
+    return explode_spans(testtables.texts(spark, sf).repartition("paper_id"), STOP_WORDS).groupBy("paper_id", "n").agg(
         F.count("*").alias("terms"), F.countDistinct("term").alias("distinct_terms"))
 
 

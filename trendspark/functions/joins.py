@@ -1,0 +1,16 @@
+"""Join hints behind a size check."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+HASHED_ROWS = 200_000
+
+
+def hash_side(df: DataFrame, rows: int, limit: int = HASHED_ROWS) -> DataFrame:
+    """Ask for a shuffled hash join built on ``df`` where its share of a partition is small.
+
+    Beyond the limit the hint is left out and the join sorts and spills.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.hint("shuffle_hash") if rows <= limit * partitions else df

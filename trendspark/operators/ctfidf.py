@@ -57,16 +57,20 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 def postings(counts: DataFrame, parameters: DataFrame, paper_df: DataFrame | None = None) -> DataFrame:
     """(category, term, df, f, postings) of the terms within min_df .. max_df.
 
-    df counts classes; give ``paper_df`` to bound by papers instead.
+    df counts classes; give ``paper_df`` to bound by papers instead. The counts are spread
+    by term once; the bounds, the join with the terms within them and the lists all use that.
+    Lists are built for those terms only, a small part of all n-grams.
     """
-    table = counts.groupBy("category", "term").agg(
-        F.count("*").alias("df"), F.sum("tf").alias("f"),
-        F.collect_list(F.struct("topic", "tf")).alias("postings"))
+    spread = counts.repartition("category", "term")
+    sizes = spread.groupBy("category", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("f"))
     if paper_df is not None:
-        table = table.drop("df").join(paper_df, ["category", "term"])
-    return (table.join(parameters.select("category", "min_df", "max_df"), "category")
+        sizes = sizes.drop("df").join(paper_df, ["category", "term"])
+    kept = (sizes.join(parameters.select("category", "min_df", "max_df"), "category")
             .where((F.col("df") >= F.col("min_df")) & (F.col("df") <= F.col("max_df")))
-            .drop("min_df", "max_df"))
+            .select("category", "term", "df", "f"))
+    return (spread.join(kept, ["category", "term"])
+            .groupBy("category", "term", "df", "f")
+            .agg(F.collect_list(F.struct("topic", "tf")).alias("postings")))
 
 
 def class_totals(vocabulary: DataFrame) -> DataFrame:

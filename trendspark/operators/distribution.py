@@ -13,12 +13,16 @@ joined once per occurrence, not once per window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendspark.functions.arrays import by_topic, of_topic
+from trendspark.functions.joins import hash_side
 from trendspark.functions.text import NGRAM_MAX, kept_tokens, tokens
 from trendspark.scratch import cut
 
@@ -26,7 +30,7 @@ from trendspark.scratch import cut
 WINDOW = 4
 MIN_SIMILARITY = 0.1
 DIGITS = 9
-NORM = -2  # stands for the squared norm among the topics of a window
+STEP = 4_000_000  # window-topic additions expanded at once
 
 
 def _occurrences(kept: Column, count: Column, longest: int, window: int) -> Column:
@@ -87,43 +91,108 @@ def topic_weights(scores: DataFrame) -> DataFrame:
                          F.filter(scaled, lambda w: w["v"].isNotNull() & (w["topic"] >= 0)).alias("weights"))
 
 
-def window_similarities(occurrences: DataFrame, weights: DataFrame) -> DataFrame:
-    """(category, paper_id, win, topic, sim) of all window-topic pairs with a shared term.
-
-    Two shuffles: by term for the join, by paper for the sums. Everything after the second
-    groups within (category, paper).
-    """
-    square = F.col("idf") * F.col("idf")
-    parts = F.concat(
-        F.array(F.struct(F.lit(NORM).alias("topic"),
-                         F.when(F.col("once"), square).otherwise(square * 2).alias("v"))),
-        F.when(F.col("once"), F.col("weights")).otherwise(F.filter("weights", lambda w: F.lit(False))))
-    joined = occurrences.join(weights, ["category", "term"]).select(
-        "category", "paper_id", "lo", "hi", parts.alias("_parts"))
-    rows = (joined.repartition("category", "paper_id")
-            .select("category", "paper_id", "lo", "hi", F.explode("_parts").alias("_part"))
-            .select("category", "paper_id", "_part.topic", "_part.v", F.explode(F.sequence("lo", "hi")).alias("win")))
-    sums = rows.groupBy("category", "paper_id", "win", "topic").agg(F.sum("v").alias("v"))
-    of_window = sums.groupBy("category", "paper_id", "win").agg(
-        F.max(F.when(F.col("topic") == NORM, F.col("v"))).alias("square"),
-        F.collect_list(F.when(F.col("topic") != NORM, F.struct("topic", "v"))).alias("dots"))
-    return (of_window.where("square > 0")
-            .select("category", "paper_id", "win", "square", F.explode("dots").alias("_d"))
-            .select("category", "paper_id", "win", "_d.topic",
-                    F.round(F.col("_d.v") / F.sqrt("square"), DIGITS).alias("sim")))
+def _runs(counts: np.ndarray) -> np.ndarray:
+    """0 .. n-1 for each n of ``counts``, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _shares(rows: pa.Table, min_similarity: float) -> pa.RecordBatch:
+    """Topic shares of the papers whose joined occurrences are ``rows``, all of a paper together."""
+    category = rows["category"].combine_chunks()
+    paper = rows["paper_id"].to_numpy()
+    code = category.dictionary_encode().indices.to_numpy()
+    start = np.flatnonzero(np.r_[True, (paper[1:] != paper[:-1]) | (code[1:] != code[:-1])])
+    group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(paper)]))
+    lo, hi = rows["lo"].to_numpy().astype(np.int64), rows["hi"].to_numpy().astype(np.int64)
+    once, idf = rows["once"].to_numpy(), rows["idf"].to_numpy()
+    windows = np.maximum.reduceat(hi, start) + 1
+    first = (np.cumsum(windows) - windows)[group] + lo
+    width = hi - lo + 1
+
+    def by_window(chosen: np.ndarray) -> np.ndarray:
+        return np.repeat(first[chosen], width[chosen]) + _runs(width[chosen])
+
+    everything = np.arange(len(paper))
+    square = np.bincount(by_window(everything), np.repeat(idf * idf * np.where(once, 1.0, 2.0), width), windows.sum())
+
+    lists = rows["weights"].combine_chunks()
+    size = lists.value_lengths().to_numpy().astype(np.int64) * once
+    at = lists.offsets.to_numpy().astype(np.int64)[:-1]
+    topics = lists.values.field("topic").to_numpy()
+    values = lists.values.field("v").to_numpy()
+    topic_count = int(topics.max(initial=0)) + 1
+    keys, sums = [], []
+    ends = np.cumsum(size * width)
+    cut_at = np.searchsorted(ends, np.arange(0, ends[-1] + STEP, STEP), side="left")
+    for chosen in (everything[a:b] for a, b in zip(cut_at, np.r_[cut_at[1:], len(paper)]) if b > a):
+        row = np.repeat(chosen, size[chosen])
+        entry = np.repeat(at[chosen], size[chosen]) + _runs(size[chosen])
+        key = by_window(row) * topic_count + np.repeat(topics[entry], width[row])
+        found, place = np.unique(key, return_inverse=True)
+        keys.append(found)
+        sums.append(np.bincount(place, np.repeat(values[entry], width[row]), len(found)))
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    dot = np.bincount(place, np.concatenate(sums), len(key))
+    window = key // topic_count
+    with np.errstate(divide="ignore", invalid="ignore"):
+        similarity = np.round(dot / np.sqrt(square[window]), DIGITS)
+    kept = (square[window] > 0) & (similarity >= min_similarity)
+    owner = np.repeat(np.arange(len(start)), windows)[window[kept]]
+    key, place = np.unique(owner * topic_count + key[kept] % topic_count, return_inverse=True)
+    mass = np.bincount(place, similarity[kept], len(key))
+    owner = key // topic_count
+    share = mass / np.bincount(owner, mass, len(start))[owner]
+    return pa.RecordBatch.from_arrays(
+        [category.take(pa.array(start[owner])), pa.array(paper[start[owner]]),
+         pa.array((key % topic_count).astype(np.int32)), pa.array(share)],
+        names=["category", "paper_id", "topic", "p"])
+
+
+def shares_of_sorted(batches: Iterator[pa.RecordBatch], min_similarity: float) -> Iterator[pa.RecordBatch]:
+    """Shares from rows sorted by (category, paper_id); a paper's rows may go over batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        paper, category = batch["paper_id"], batch["category"]
+        end = batch.num_rows - 1
+        changed = np.flatnonzero((paper.to_numpy() != paper[end].as_py())
+                                 | pc.not_equal(category, category[end]).to_numpy(zero_copy_only=False))
+        if held and not len(changed):
+            last = held[-1]
+            same = (last["paper_id"][-1].as_py(), last["category"][-1].as_py()) == (
+                paper[end].as_py(), category[end].as_py())
+            split = -1 if same else 0
+        else:
+            split = int(changed[-1]) + 1 if len(changed) else -1
+        if split >= 0:
+            held.append(batch.slice(0, split))
+            yield _shares(pa.Table.from_batches(held), min_similarity)
+            held = []
+        held.append(batch.slice(max(split, 0)))
+    if held:
+        yield _shares(pa.Table.from_batches(held), min_similarity)
 
 
 def topic_distribution(texts: DataFrame, categories: DataFrame, scores: DataFrame,
                        stop_words: Sequence[str] = (), longest: int = NGRAM_MAX,
                        window: int = WINDOW, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """Sparse (category, paper_id, topic, p), p > 0, summing to 1 per paper; papers without mass are absent."""
+    """Sparse (category, paper_id, topic, p), p > 0, summing to 1 per paper; papers without mass are absent.
+
+    Three shuffles: texts by paper, occurrences by term for the join with the vocabulary,
+    joined occurrences by paper for the sums. Sums are taken in Arrow batches of whole
+    papers, so a task holds one batch and at most one paper beyond it.
+    """
     found = window_occurrences(texts, categories, stop_words, longest, window)
-    sims = window_similarities(found, topic_weights(scores))
-    mass = (sims.where(F.col("sim") >= min_similarity)
-            .groupBy("category", "paper_id", "topic").agg(F.sum("sim").alias("mass")))
-    whole = Window.partitionBy("category", "paper_id")
-    return mass.select("category", "paper_id", "topic",
-                       (F.col("mass") / F.sum("mass").over(whole)).alias("p"))
+    weights = hash_side(topic_weights(scores), scores.count())
+    rows = (found.join(weights, ["category", "term"])
+            .select("category", "paper_id", "lo", "hi", "once", "idf", "weights")
+            .repartition("category", "paper_id").sortWithinPartitions("category", "paper_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return shares_of_sorted(batches, min_similarity)
+
+    return rows.mapInArrow(run, "category string, paper_id long, topic int, p double")
 
 
 def main_topic(distribution: DataFrame, members: DataFrame, drop_unassigned: bool = False,
