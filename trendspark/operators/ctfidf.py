@@ -58,17 +58,15 @@ def postings(counts: DataFrame, parameters: DataFrame, paper_df: DataFrame | Non
     """(category, term, df, f, postings) of the terms within min_df .. max_df.
 
     df counts classes; give ``paper_df`` to bound by papers instead. The counts are spread
-    by term once; the bounds, the join with the terms within them and the lists all use that.
-    Lists are built for those terms only, a small part of all n-grams.
+    by term once, for the bounds and for the lists. A term has at most one row per topic.
+    Lists are built for terms within the bounds only, a small part of all n-grams.
     """
-    spread = counts.repartition("category", "term")
-    sizes = spread.groupBy("category", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("f"))
+    same_term = Window.partitionBy("category", "term")
+    sized = counts.withColumns({"df": F.count("*").over(same_term), "f": F.sum("tf").over(same_term)})
     if paper_df is not None:
-        sizes = sizes.drop("df").join(paper_df, ["category", "term"])
-    kept = (sizes.join(parameters.select("category", "min_df", "max_df"), "category")
+        sized = sized.drop("df").join(paper_df, ["category", "term"])
+    return (sized.join(parameters.select("category", "min_df", "max_df"), "category")
             .where((F.col("df") >= F.col("min_df")) & (F.col("df") <= F.col("max_df")))
-            .select("category", "term", "df", "f"))
-    return (spread.join(kept, ["category", "term"])
             .groupBy("category", "term", "df", "f")
             .agg(F.collect_list(F.struct("topic", "tf")).alias("postings")))
 
