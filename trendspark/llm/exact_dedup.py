@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendspark.llm.tables import arrow_schema, free_name, slices, table
+from trendspark.llm.tables import arrow_schema, same_row, slices, table, without
 from trendspark.scratch import cut
 
 SHORTEST, LONGEST = 512, 16_384
@@ -143,19 +143,15 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``decisions`` keeps, with all their columns."""
-    sha, other_id, other_sha = (free_name(docs.columns, x) for x in ("row_sha", "gone_id", "gone_sha"))
-    docs = docs.withColumn(sha, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    same = F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(sha) == F.col(other_sha))
-    named = [F.col("doc_id").alias(other_id), F.col("text_sha256").alias(other_sha)]
+    dropped = cut(decisions.where(~F.col("kept")), "dropped")
     own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    decisions = cut(decisions.where(~F.col("kept")), "dropped")
-    left = docs.join(decisions.where(~own).select(*named), same, "left_anti")
-    repeated = decisions.where(own)
-    if not repeated.isEmpty():
-        again = repeated.select(*named).distinct()
-        left = (left.join(again, same, "left_anti")
-                .unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", sha])))
-    return left.drop(sha)
+    left = without(docs, dropped.where(~own))
+    repeated = dropped.where(own).select("doc_id", "text_sha256").distinct()
+    if repeated.isEmpty():
+        return left
+    one = same_row(left, repeated)
+    once = one[0].join(one[1], one[2], "left_semi").dropDuplicates(["doc_id", one[3]]).drop(one[3])
+    return without(left, repeated).unionByName(once)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendspark.llm import exact_dedup
+from trendspark.llm import decontaminate, exact_dedup, forest_join, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_decontamination": decontaminate.op4_decontamination,
+        "op6_packing": packing.op6_packing,
+        "op7_jaccard_join": forest_join.op7_jaccard_join,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_decontamination": decontaminate.OP4_SQL,
+        "op7_jaccard_join": forest_join.OP7_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
     }

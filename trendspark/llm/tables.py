@@ -29,6 +29,30 @@ def free_name(taken: list[str], wish: str) -> str:
     return wish
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the id and the text's digest together as the id.
+
+    Operators carry any type of id, so their decisions can be brought back to the rows even
+    where different texts share an id.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.struct("doc_id", F.sha2(text, 256).alias("text_sha256")).alias("doc_id"), text.alias("text"))
+
+
+def same_row(docs: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame, Column, str]:
+    """Both sides of a join on (doc_id, text_sha256), the condition, and the column added to ``docs``."""
+    sha, other_id, other_sha = (free_name(docs.columns, x) for x in ("row_sha", "other_id", "other_sha"))
+    docs = docs.withColumn(sha, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    other = other.select(F.col("doc_id").alias(other_id), F.col("text_sha256").alias(other_sha))
+    return docs, other, F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(sha) == F.col(other_sha)), sha
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are not among ``gone`` (doc_id, text_sha256), with all their columns."""
+    left, right, same, sha = same_row(docs, gone)
+    return left.join(right, same, "left_anti").drop(sha)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts of a column end to end, and where each begins; null is empty."""
     column = column.cast(pa.large_string()).fill_null("")
