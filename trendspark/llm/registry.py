@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendspark.llm import decontaminate, exact_dedup, forest_join, packing
+from trendspark.llm import decontaminate, exact_dedup, forest_join, packing, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op6_packing": packing.op6_packing,
         "op7_jaccard_join": forest_join.op7_jaccard_join,
