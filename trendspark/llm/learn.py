@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendspark.llm.tables import fold
 
 HASH_BITS = 40
+BLOCK = 512
 
 
 def learning(doc_id: Column, parts: int, held: int) -> Column:
@@ -61,3 +65,30 @@ def temperature(logits: np.ndarray, target: np.ndarray, weight: np.ndarray) -> f
     grid = np.exp(np.linspace(np.log(0.2), np.log(20), 120))
     loss = [-(weight * np.log(softmax(logits / t)[np.arange(len(target)), target] + 1e-12)).sum() for t in grid]
     return float(grid[int(np.argmin(loss))])
+
+
+def summed(docs: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
+    """Sum over all tasks of a vector of fixed size that each task counts in its rows.
+
+    The vectors are dealt out in blocks and summed row by row, so a task holds its blocks
+    only, however many tasks there are. The driver gets one vector.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = count(batches).astype(float)
+        blocks = range(-(-len(total) // BLOCK))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(blocks, pa.int32()),
+            pa.array([total[b * BLOCK:(b + 1) * BLOCK].tobytes() for b in blocks], pa.binary())], ["block", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, part in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                value = np.frombuffer(part)
+                held[block] = held[block] + value if block in held else value
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()),
+                                          pa.array([v.tobytes() for v in held.values()], pa.binary())], ["block", "part"])
+
+    rows = docs.mapInArrow(partial, "block int, part binary").repartition("block").mapInArrow(add, "block int, part binary")
+    return np.concatenate([np.zeros(0), *(np.frombuffer(r.part) for r in sorted(rows.collect(), key=lambda r: r.block))])

@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendspark.llm import decontaminate, exact_dedup, forest_join, packing, toxicity
+from trendspark.llm import decontaminate, exact_dedup, forest_join, language, packing, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op3_language": language.op3_language,
         "op4_decontamination": decontaminate.op4_decontamination,
         "op6_packing": packing.op6_packing,
         "op7_jaccard_join": forest_join.op7_jaccard_join,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+        "op9_quality": quality.op9_quality,
     }
 
 
