@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendspark.llm import decontaminate, exact_dedup, forest_join, language, packing, quality, toxicity
+from trendspark.llm import decontaminate, exact_dedup, forest_join, language, packing, personal, pitman_yor, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_personal_data": personal.op2_personal_data,
         "op3_language": language.op3_language,
         "op4_decontamination": decontaminate.op4_decontamination,
+        "op5_language_model": pitman_yor.op5_language_model,
         "op6_packing": packing.op6_packing,
         "op7_jaccard_join": forest_join.op7_jaccard_join,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
