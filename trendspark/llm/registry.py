@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendspark.llm import decontaminate, exact_dedup, forest_join, language, packing, personal, pitman_yor, quality, toxicity
+from trendspark.llm import decontaminate, exact_dedup, forest_join, language, licenses, packing, personal, pitman_yor, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_licenses": licenses.op10_licenses,
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_personal_data": personal.op2_personal_data,
         "op3_language": language.op3_language,
