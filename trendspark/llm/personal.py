@@ -5,7 +5,8 @@ characters, so a number directly beside another, or an address with a spelled-ou
 escapes them. High-recall generators therefore propose further spans, which may overlap.
 Each candidate has features of its format and of the characters around it, all in a few
 bins. Candidates of all documents are counted by kind, features and fold; whether a
-candidate is itself a base span is the weak label. Boosted trees are fitted to these counts
+candidate is itself a base span is the weak label; a candidate inside a longer stretch that
+a base pattern ran over in vain has none. Boosted trees are fitted to these counts
 (their number is bounded by the product of the bins, not by the documents), and for each
 kind the lowest score whose candidates reach TARGET precision on the fold held back is its
 threshold. A candidate above it that touches no base span, and no better candidate, is
@@ -145,12 +146,20 @@ def detected(docs: DataFrame) -> DataFrame:
 def with_kind(docs: DataFrame, i: int, kind: str, there: Column) -> DataFrame:
     """Adds the base spans and the candidates of one kind."""
     placed = lambda s: [s["first"].alias("first"), F.lit(i).alias("kind"), s["last"].alias("last")]
-    docs = located(docs, f"_{kind}", BASE[kind], there)
-    docs = docs.withColumn(f"_{kind}", F.transform(F.filter(f"_{kind}", lambda s: valid(kind, s["found"])),
+    docs = located(docs, f"_all_{kind}", BASE[kind], there)
+    docs = docs.withColumn(f"_{kind}", F.transform(F.filter(f"_all_{kind}", lambda s: valid(kind, s["found"])),
                                                    lambda s: F.struct(*placed(s))))
+    # failed matches: a candidate inside a longer one was run over, so the pattern says nothing about it
+    failed = F.filter(f"_all_{kind}", lambda s: ~valid(kind, s["found"]))
+    docs = docs.withColumn(f"_failed_{kind}", F.transform(failed, lambda s: F.struct(*placed(s)))).drop(f"_all_{kind}")
     docs = located(docs, f"_more_{kind}", PROPOSED[kind], there)
+
+    def run_over(s: Column) -> Column:
+        return F.exists(f"_failed_{kind}", lambda f: (f["first"] <= s["first"]) & (s["last"] <= f["last"])
+                        & (f["last"] - f["first"] > s["last"] - s["first"]))
+
     return docs.withColumn(f"_more_{kind}", F.transform(
-        f"_more_{kind}", lambda s: F.struct(*placed(s), features(kind, s).alias("x"))))
+        f"_more_{kind}", lambda s: F.struct(*placed(s), features(kind, s).alias("x"), run_over(s).alias("open"))))
 
 
 def same(a: Column, b: Column) -> Column:
@@ -160,6 +169,7 @@ def same(a: Column, b: Column) -> Column:
 def counted(found: DataFrame) -> list:
     """Candidates of all documents by kind, features and fold: how many, and how many are base spans."""
     rows = found.select((fold(F.col("doc_id"), FOLDS) == HELD).alias("held"), "base", F.explode("proposed").alias("c"))
+    rows = rows.where(~F.col("c.open"))
     label = F.exists("base", lambda b: same(b, F.col("c")))
     cells = rows.select("held", "c.kind", "c.x.*", label.cast("int").alias("label"))
     # a row per combination of bins at most
@@ -228,7 +238,7 @@ def fit(found: DataFrame) -> tuple[Trees | None, dict[int, float]]:
         return None, {}
     table_of = lambda rows: np.array([[c.kind, *(c[f] for f in FEATURES)] for c in rows], np.int64)
     trees = Trees(table_of(train), np.array([c.n for c in train], float), np.array([c.hits for c in train], float))
-    bounds = {}
+    bounds: dict[int, float] = {}
     for kind in range(len(KINDS)):
         # without rows held back the training rows stand in
         own = [c for c in cells if c.held and c.kind == kind] or [c for c in train if c.kind == kind]
