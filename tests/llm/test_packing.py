@@ -69,4 +69,4 @@ def test_balance():
     full = [cost[s] for s in size if size[s] == packing.SEQUENCE]
     assert max(full) <= 1.5 * min(full)
     cut = len(pieces) - len(lengths)
-    assert cut < len(lengths) / 4
+    assert cut < len(lengths) / 2

@@ -34,9 +34,10 @@ SEQUENCE = 4096
 END_ID = 2
 GROUP_TOKENS = 1 << 22
 HIDDEN = 1024  # width of the model that the cost estimate assumes
-CACHED_WORDS = 300_000
-MARK = "<|endoftext|>"
-TOGETHER = 512  # words encoded at once
+CACHED_WORDS = 400_000
+TOGETHER = 128  # words in one text to encode
+WORD_END = "</w>"
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^`{|}~"
 PARTITION_BITS = 40
 
 # Where splitting at white space could differ from the tokenizer: its special strings, and
@@ -47,36 +48,66 @@ _UNSAFE = re.compile("<\\||[\x1c-\x1f]")
 class WordTokenizer:
     """Token ids of texts under a tokenizer that drops white space: ids of each word, looked up once.
 
-    Ids are little-endian unsigned 32-bit numbers, end to end.
+    Ids are little-endian unsigned 32-bit numbers, end to end. Words that are letters and then
+    ASCII marks are letters and marks to the tokenizer too, so new ones are encoded by their
+    letters, many in one call, and told apart by the tokens that end a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.mark = self.whole.token_to_id(MARK)
+        size = self.whole.get_vocab_size()
+        self.last = np.array([(self.whole.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        """Encode words as one text, with a special token between them."""
-        for low in range(0, len(words), TOGETHER):
-            part = words[low:low + TOGETHER]
-            ids = np.array(self.whole.encode(MARK.join(part), add_special_tokens=False).ids, "<u4")
-            marks = np.flatnonzero(ids == self.mark)
-            data, ends = ids.tobytes(), [*marks.tolist(), len(ids)]
-            for word, start, end in zip(part, [0, *(marks + 1).tolist()], ends, strict=True):
-                self.known[word] = data[4 * start:4 * end]
-
-    def ids(self, text: str) -> bytes:
-        if _UNSAFE.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
+        """Encode words of letters, many at once."""
+        groups = [words[low:low + TOGETHER] for low in range(0, len(words), TOGETHER)]
+        texts = [" ".join(group) for group in groups]
+        for group, found in zip(groups, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) == len(group):
+                data = ids.tobytes()
+                for word, start, end in zip(group, [0, *ends[:-1]], ends, strict=True):
+                    self.known[word] = data[4 * start:4 * end]
+            else:  # a letter that lower-casing makes two characters
+                self.known.update((word, self.encoded(word)) for word in group)
+
+    def look_up(self, words: set[str]) -> None:
+        """Make sure that all words are known."""
         if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = [word for word in set(words) if word not in self.known]
-        if new:
-            self.learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+            self.known, self.older = {}, self.known
+        new, parts = [], []
+        for word in words.difference(self.known):
+            if word in self.older:
+                self.known[word] = self.older[word]
+                continue
+            stem = word.rstrip(MARKS)
+            if stem.isalpha():
+                parts.append((word, stem, word[len(stem):]))
+                if stem not in self.known:
+                    new.append(stem)
+            else:
+                self.known[word] = self.encoded(word)
+        self.learn(sorted(set(new)))
+        for word, stem, marks in parts:
+            if marks:
+                if marks not in self.known:
+                    self.known[marks] = self.encoded(marks)
+                self.known[word] = self.known[stem] + self.known[marks]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        plain = [None if _UNSAFE.search(text) else text.split() for text in texts]
+        self.look_up(set().union(*(words for words in plain if words)))
+        get = self.known.__getitem__
+        return [self.encoded(text) if words is None else b"".join(map(get, words))
+                for text, words in zip(texts, plain, strict=True)]
 
 
 @lru_cache(maxsize=1)
@@ -162,9 +193,9 @@ def packed_sequences(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUE
 
         for rows, _, _ in slices(batches, limit=1 << 20):
             keys.append(rows.column("doc_id"))
-            for text in rows.column("text").to_pylist():
-                texts.append(tokenizer.ids(text or "") + end)
-                held += len(texts[-1]) // 4
+            found = tokenizer.ids([text or "" for text in rows.column("text").to_pylist()])
+            texts += [ids + end for ids in found]
+            held += sum(map(len, found)) // 4
             if held >= group_tokens:
                 yield flush()
         if texts:
