@@ -290,9 +290,7 @@ def oracle_sql() -> dict[str, str]:
             select category, topic, cast(rank_ as int) as "rank", paper_id, round(sim, 6) sim from (
               select *, row_number() over (partition by category, topic order by sim desc nulls last, paper_id) rank_
               from doc_sims) where rank_ <= 3""", """
-            chosen as materialized (select category, topic, paper_id from (
-              select *, row_number() over (partition by category, topic order by md5(cast(paper_id as varchar)), paper_id) rn
-              from assign) where rn <= 500),
+            chosen as materialized (select category, topic, paper_id from assign),
             paper_tf as materialized (select paper_id, term, count(*) n from occ group by all),
             doc_sims as materialized (
               select c.category, c.topic, c.paper_id,
@@ -348,6 +346,17 @@ def oracle_sql() -> dict[str, str]:
             select category, '2025-09-18T01:02:03Z' as "lastUpdated", '0.0.2' as "dataVersion",
                    strftime(min(published), '%Y-%m') as "start", strftime(max(published), '%Y-%m') as "end"
             from bridge join papers using (paper_id) group by category"""),
+        "document_shares": _with(["topw"], f"""
+            select a.category, a.paper_id, a.topic, n.name_ as "name",
+                   case when a.topic >= 0 then list_aggregate(list_sort([a.topic || ':0.75', (a.topic + 1) || ':0.25']), 'string_agg', ',') end shares
+            from assign a
+            left join (select category, topic, {name} name_ from (
+                select distinct category, topic from assign where topic <> -1) s) n
+              on n.category = a.category and n.topic = a.topic"""),
+        "category_embeddings": _with(["bridge", "texts"], """
+            select b.category, p.arxiv_id, length(t.txt) characters, length(t.txt) - length(replace(t.txt, ' ', '')) blanks
+            from bridge b join papers p using (paper_id) join texts t using (paper_id)
+            where b.category not in ('doc.en', 'src3') or p.published >= date '2021-01-01'"""),
         "document_info": _with(["topw", "texts"], f"""
             select a.category, a.paper_id, a.topic, n.name_ as "name", p.arxiv_id, md5(t.txt) digest
             from assign a join papers p using (paper_id) join texts t using (paper_id)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from trendspark.functions.sizing import corpus_parameters
 from trendspark.functions.text import explode_spans, tokens
 from trendspark.operators import (cluster, correlate, ctfidf, distribution, graph, keywords, listing, neighbors,
                                   reduce, report, represent)
-from trendspark.operators.encode import HashingEncoder
+from trendspark.operators.encode import FunctionEncoder, HashingEncoder
 from trendspark.plans import embed, train, trends
 from trendspark.scratch import cut, scratch_path
 from trendspark.sources import catalog, landing, store, testtables
@@ -381,6 +382,17 @@ def document_info(spark: SparkSession, sf: str) -> DataFrame:
         "category", "paper_id", "topic", "name", "arxiv_id", F.md5("text").alias("digest"))
 
 
+def document_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Document info with given topic shares: three quarters for the own topic, a quarter for the next."""
+    own = testtables.assignments(spark, sf).where("topic >= 0")
+    shares = own.select("category", "paper_id", "topic", F.lit(0.75).alias("p")).unionByName(
+        own.select("category", "paper_id", (F.col("topic") + 1).alias("topic"), F.lit(0.25).alias("p")))
+    names = report.topic_info(report.topic_sizes(testtables.assignments(spark, sf)), _top_words(spark, sf))
+    info = report.document_info(testtables.papers(spark, sf), testtables.assignments(spark, sf), names, shares)
+    listed = F.transform(F.map_entries("distribution"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string")))
+    return info.select("category", "paper_id", "topic", "name", F.array_join(F.array_sort(listed), ",").alias("shares"))
+
+
 def deep_slice(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
     return slice_rows(events, [F.col("user_id"), F.col("event_id")], offset=100)
@@ -434,6 +446,25 @@ def text_embeddings(spark: SparkSession, sf: str) -> DataFrame:
         "embedding", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")), 4).alias("length"))
 
 
+def _length_and_words():
+    """A stand-in model for a given function: characters and blanks of each text."""
+    return lambda texts: np.array([[len(text), text.count(" ")] for text in texts], np.float32).reshape(-1, 2)
+
+
+def category_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of two categories from a date on, by a given function; a second run over all adds the rest."""
+    root = scratch_path(spark, "pre")
+    repo = store.PaperStore(spark, f"{root}/store")
+    repo.register(testtables.papers(spark, sf).drop("paper_id"))
+    wanted = spark.createDataFrame([("doc.EN",), ("src3",)], "code string")
+    encoder = FunctionEncoder(_length_and_words)
+    embed.embed_categories(spark, repo, encoder, root, from_date=date(2021, 1, 1), categories=wanted)
+    _, vectors = embed.embed_categories(spark, repo, encoder, root)
+    return vectors.join(repo.papers().select("paper_id", "arxiv_id"), "paper_id").select(
+        "category", "arxiv_id", F.col("embedding")[0].cast("long").alias("characters"),
+        F.col("embedding")[1].cast("long").alias("blanks"))
+
+
 def stored_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "embeddings")
     store.write_by_category(_points(spark, sf).withColumnRenamed("vector", "embedding"), path)
@@ -470,7 +501,7 @@ def _papers_by_category(spark: SparkSession, sf: str) -> DataFrame:
 
 def topic_model(spark: SparkSession, sf: str) -> DataFrame:
     """The whole fit, clustering included, on text embeddings; the stored tables are read back."""
-    papers = _papers_by_category(spark, sf).where(F.col("category").startswith("doc."))
+    papers = _papers_by_category(spark, sf)
     encoder = HashingEncoder(64)
     vectors = papers.select("category", "paper_id").join(embed.encode_papers(papers, encoder), "paper_id")
     path = scratch_path(spark, "model")
@@ -542,9 +573,9 @@ REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     class_term_totals, document_frequencies, class_tfidf, topic_keywords, topic_table, keyword_tag_patterns,
     representative_docs, representative_papers, representative_table, topic_distribution, main_topics,
     topic_similarities, topic_correlations, correlation_range, text_topic_correlations, monthly_series,
-    monthly_series_labels, monthly_series_orders, period_metadata, document_info, deep_slice,
+    monthly_series_labels, monthly_series_orders, period_metadata, document_info, document_shares, deep_slice,
     nearest_neighbours, core_distances, similarity_graph, reduced_vectors, density_clusters, soft_membership,
-    text_embeddings, stored_embeddings, embedding_keywords, diverse_keywords, keyword_chain, topic_model,
+    text_embeddings, category_embeddings, stored_embeddings, embedding_keywords, diverse_keywords, keyword_chain, topic_model,
     trend_reports, streamed_ingest, streamed_keywords,
 ]
 

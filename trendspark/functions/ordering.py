@@ -36,7 +36,7 @@ def slice_rows(df: DataFrame, order: list[Column], offset: int | None = None,
     """Rows offset .. offset+limit in a total order.
 
     A bounded slice is a distributed top-k. An open or very deep one would funnel through
-    one task, so it goes through numbered rows instead.
+    one task, so it goes through numbered rows instead. Either way the rows come sorted.
     """
     start = offset or 0
     if limit is None and start == 0:
@@ -47,4 +47,4 @@ def slice_rows(df: DataFrame, order: list[Column], offset: int | None = None,
     wanted = index >= start
     if limit is not None:
         wanted = wanted & (index < start + limit)
-    return with_row_index(df, order, "_slice_index").where(wanted).drop("_slice_index")
+    return with_row_index(df, order, "_slice_index").where(wanted).sort("_slice_index").drop("_slice_index")

@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendspark.functions.arrays import by_topic, of_topic
-from trendspark.functions.joins import hash_side
 from trendspark.functions.text import NGRAM_MAX, kept_tokens, tokens
 from trendspark.scratch import cut
 
@@ -184,7 +183,7 @@ def topic_distribution(texts: DataFrame, categories: DataFrame, scores: DataFram
     papers, so a task holds one batch and at most one paper beyond it.
     """
     found = window_occurrences(texts, categories, stop_words, longest, window)
-    weights = hash_side(topic_weights(scores), scores.count())
+    weights = topic_weights(scores)
     rows = (found.join(weights, ["category", "term"])
             .select("category", "paper_id", "lo", "hi", "once", "idf", "weights")
             .repartition("category", "paper_id").sortWithinPartitions("category", "paper_id"))

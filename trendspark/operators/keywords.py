@@ -29,7 +29,10 @@ def daily_counts(papers: DataFrame, bridge: DataFrame, stop_words: Sequence[str]
 
     split = papers.repartition("paper_id").join(names, "paper_id").select(
         "published", "_names", F.concat(words("title", 1), words("abstract", 0)).alias("_words"))
-    rows = (split.select("published", "_names", F.explode("_words").alias("_word"))
+    # an outer explode: a plain one lets Spark test the words for emptiness, that is split the
+    # texts, once more before they are spread
+    rows = (split.select("published", "_names", F.explode_outer("_words").alias("_word"))
+            .where(F.col("_word").isNotNull())
             .select("published", F.explode("_names").alias("category"), "_word.token", "_word.in_title"))
     return (rows.groupBy(*KEY)
             .agg(F.sum(F.col("in_title").cast("long")).alias("title_count"),
