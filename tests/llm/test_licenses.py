@@ -7,7 +7,7 @@ from trendspark.llm import licenses
 MIT = "Released under the MIT License."
 FILES = [
     (1, "a/LICENSE", MIT), (2, "a/b/c/x.py", "code\nmore code"), (3, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0."),
-    (4, "a/b/c/y.py", f"some words here and there and more of them in this file\n// {MIT}\nrest of it is code code code"),
+    (4, "a/b/c/y.py", "some words here and there " * 6 + f"\n// {MIT}\nrest of it is code code code"),
     (5, "z/q.py", "a license to be free"), (6, "top.txt", None), (7, None, ""), (8, "a/b2/x", "x"), (8, "a/b2/x", "x"),
     (9, "a/n/deep/er/f", "mit dem und under the"), (10, "z/cc.txt", "Licensed under CC BY-NC 4.0."),
 ]
