@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 
 from tests.llm.helpers import rows
 from trendspark.llm import licenses
@@ -45,3 +46,23 @@ def test_scores_against_brute_force(spark, sf_dir):
     assert sorted((r.doc_id, round(r.own_score, 9)) for r in got.where("own_score is not null").collect()) == want
     assert {w: n for w, n in licenses.document_frequencies(licenses.document_files(docs))[0].items()} == {w: n for w, n in often.items() if n}
     assert rows(licenses.op10_licenses(spark, sf_dir), "doc_id") == sorted(((k,) for k in texts), key=repr)
+
+
+def test_wrapped_notices(spark):
+    """Notices wrapped at 72 columns as comments, inside a long line, and in a licence file."""
+    notices = {t: name for name, t in licenses.TEMPLATES if len(t) > 100}
+    code = [f"value{i} = call{i}(item{i}, row{i})" for i in range(60)]
+    files, want = [], {}
+    for i, (text, name) in enumerate(notices.items()):
+        lines = textwrap.wrap(text, 72)
+        files += [(3 * i, f"p{i}/x.py", "\n".join([*code[:20], *("# " + line for line in lines), *code])),
+                  (3 * i + 1, f"q{i}/x.py", " ".join([*code, text, *code])),
+                  (3 * i + 2, f"r{i}/LICENSE", "\n".join(["Copyright 2020 Somebody", "", *lines, "", *code])),
+                  (100 + i, f"r{i}/deep/y.py", "\n".join(code))]
+        want |= {3 * i: (name, "header"), 3 * i + 1: (name, "header"), 3 * i + 2: (name, "file"), 100 + i: (name, "inherited")}
+    files += [(200 + i, f"s/{i}.py", "\n".join(code)) for i in range(20)]
+    table_of = table(spark, files)
+    got = {r.doc_id: r for r in licenses.license_scan(table_of).collect()}
+    assert {k: (got[k].license, got[k].origin) for k in want} == want
+    assert all(got[200 + i].origin == "none" for i in range(20))
+    assert {got[3 * i].license for i in range(len(notices))} >= {"MIT", "BSD-3-Clause", "GPL-3.0"}

@@ -1,11 +1,14 @@
 """Licence scans by TF-IDF cosine to templates and inheritance from directories.
 
-Each text is scanned whole: every line is a header, and a text that is little but licence
-words is a licence file. Lines and texts are compared with licence templates as sparse TF-IDF
+Each text is scanned whole: every line is a header, and so is every window of as many words
+as a template has, whatever lines it is wrapped over; a text that is little but licence
+words, or whose file name says so, is a licence file. Lines, windows and whole short texts are
+compared with licence templates as sparse TF-IDF
 vectors over the words of the templates; how many documents hold each word is counted over
-all documents. A line can reach the threshold only if it has one of a few heavy words of a
-template (the other words of a template together weigh too little), so all lines without
-one are passed over.
+all documents. A line or window can reach the threshold only if it has one of a few heavy words
+of a template (the other words of a template together weigh too little), so all lines and
+windows without one are passed over. Windows leave out the words of lines that reach the
+threshold themselves.
 
 A document without a header of its own takes the licence of the nearest directory above it
 that has a licence file: directories are few against documents, so each directory finds its
@@ -21,7 +24,6 @@ from __future__ import annotations
 
 import math
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +51,7 @@ TEMPLATES = (
 )
 THRESHOLD = 0.8
 FILE_WORDS = 0.2  # a licence file: at least this share of the words stand in its licence lines
+FILE_NAME = r"(?i)^(?:un)?(?:licen[cs]e|copying|copyright|notice)s?(?:[._-][^/]*)?$"
 _WORD = "[^a-z0-9]+"
 
 
@@ -84,17 +87,19 @@ class Weights:
             norm = math.sqrt(sum(v * v for v in raw.values()))
             self.vectors.append({w: v / norm for w, v in raw.items()})
 
-    def heavy(self, threshold: float) -> list[str]:
-        """Words without which no line reaches the threshold: of each template, all but a light rest."""
-        out = set()
-        for vector in self.vectors:
-            rest = 0.0
-            for word, weight in sorted(vector.items(), key=lambda item: (item[1], item[0])):
-                rest += weight * weight
-                if math.sqrt(rest) >= threshold - 1e-9:
-                    out.add(word)
+    def heavy_of(self, k: int, threshold: float) -> list[str]:
+        """Words without which nothing reaches the threshold with template ``k``: all but a light rest."""
+        out, rest = [], 0.0
+        for word, weight in sorted(self.vectors[k].items(), key=lambda item: (item[1], item[0])):
+            rest += weight * weight
+            if math.sqrt(rest) >= threshold - 1e-9:
+                out.append(word)
         return sorted(out)
 
+    def heavy(self, threshold: float) -> list[str]:
+        """Words without which no line reaches the threshold."""
+        return sorted({word for k in range(len(self.vectors)) for word in self.heavy_of(k, threshold)})
+
     def rows(self) -> Column:
         """Map from a word to its idf and its weight in each template."""
         pairs = [x for w in VOCABULARY for x in (F.lit(w), F.array(*[F.lit(v) for v in (
@@ -103,44 +108,100 @@ class Weights:
 
 
 def scored(words: Column, rows: Column) -> Column:
-    """(score, template) of the nearest template of a list of template words."""
+    """(score, template) of the nearest template of a list of template words; ties go to the first."""
     zero = F.lit(0.0)
-    dots = [F.aggregate(words, zero, _adder(rows, k)) for k in range(len(TEMPLATES))]
+
+    def dot(k: Column) -> Column:
+        # a word that stands twice adds twice, which is its term frequency
+        def add(total: Column, row: Column) -> Column:
+            return total + F.get(row, F.lit(0)) * F.get(row, k + 1)
+
+        return F.struct(F.aggregate(F.transform(words, lambda w: rows[w]), zero, add).alias("dot"), (-k).alias("t"))
+
     squares = F.aggregate(F.array_distinct(words), zero, lambda s, w: s + F.pow(
         F.size(F.filter(words, lambda x: x == w)) * F.get(rows[w], F.lit(0)), F.lit(2)))
-    best = F.greatest(*dots)
-    which = reduce(lambda rest, k: F.when(dots[k] == best, F.lit(k)).otherwise(rest), range(len(TEMPLATES) - 1, -1, -1), F.lit(-1))
-    return F.struct(F.when(squares > 0, best / F.sqrt(squares)).otherwise(zero).alias("score"), which.alias("template"))
+    best = F.array_max(F.transform(F.array(*[F.lit(k) for k in range(len(TEMPLATES))]), dot))
+    # an array of one, so that each part is evaluated once
+    found = F.transform(F.array(F.struct(best.alias("best"), F.sqrt(squares).alias("norm"))), lambda x: F.struct(
+        F.when(x["norm"] > 0, x["best"]["dot"] / x["norm"]).otherwise(zero).alias("score"), (-x["best"]["t"]).alias("template")))
+    return F.get(found, F.lit(0))
+
+
+def windows(weights: Weights, threshold: float) -> Column:
+    """(at, words) of the windows of ``_hits`` that may reach the threshold: index of the first hit, length in words.
+
+    Around each heavy word of a template, the distinct words within the template's length bound
+    the cosine of all windows that hold it.
+    """
+    hits = F.col("_hits")
+
+    def around(k: int, length: int):
+        heavy = F.array(*[F.lit(w) for w in weights.heavy_of(k, threshold)])
+        squares = F.create_map(*[F.lit(x) for w, v in weights.vectors[k].items() for x in (w, v * v)])
 
+        def of(hit: Column, j: Column) -> Column:
+            first = F.greatest(j - (length - 1), F.lit(0))
+            near = F.filter(F.slice(hits, first + 1, F.lit(2 * length - 1)), lambda o: F.abs(o["pos"] - hit["pos"]) < length)
+            bound = F.aggregate(F.array_distinct(F.transform(near, lambda o: o["w"])), F.lit(0.0),
+                                lambda total, w: total + F.coalesce(squares[w], F.lit(0.0)))
+            starts = F.filter(F.sequence(first, j), lambda i: F.get(hits, i)["pos"] > hit["pos"] - length)
+            return F.when(F.array_contains(heavy, hit["w"]), F.when(bound >= threshold ** 2 - 1e-9, F.transform(
+                starts, lambda i: F.struct(i.alias("at"), F.lit(length).alias("words")))))
 
-def _adder(rows: Column, k: int):
-    """Adds idf times the weight in template ``k``; a word that stands twice adds twice, which is its term frequency."""
-    def add(total: Column, w: Column) -> Column:
-        row = rows[w]
-        return total + F.get(row, F.lit(0)) * F.get(row, F.lit(k + 1))
+        return of
 
-    return add
+    found = [F.flatten(F.array_compact(F.transform(hits, around(k, len(template_words(text)))))) for k, (_, text) in enumerate(TEMPLATES)]
+    # a short text as a whole
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.size("_rest").alias("words")))
+    short = (F.size(hits) > 0) & (F.size("_rest") <= 2 * max(len(template_words(text)) for _, text in TEMPLATES))
+    return F.array_distinct(F.concat(*found, F.when(short, whole).otherwise(F.array().cast("array<struct<at:int,words:int>>"))))
 
 
 def headers(files: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, path, own_license, own_score, is_file): the best licence line of each document."""
+    """(doc_id, path, own_license, own_score, is_file): the best licence line or window of each document."""
     heavy, known = F.array(*[F.lit(w) for w in weights.heavy(threshold)]), F.array(*[F.lit(w) for w in VOCABULARY])
     rows = weights.rows()
-    # any heavy word at all, before lines are cut; its place in a word is looked at below
-    some = F.lower("text").rlike("|".join(weights.heavy(threshold)))
-    lines = F.when(some, F.filter(F.transform(F.split("text", "\n"), words_of), lambda line: F.arrays_overlap(line, heavy)))
+    # any heavy word at all, before lines are cut
+    some = F.lower("text").rlike(f"(?<![a-z0-9])(?:{'|'.join(weights.heavy(threshold))})(?![a-z0-9])")
+    lines = F.when(some, F.transform(F.split("text", "\n"), words_of))
     files = files.withColumn("_lines", F.coalesce(lines, F.array().cast("array<array<string>>")))
-    near = F.transform("_lines", lambda line: F.struct(
-        scored(F.filter(line, lambda w: F.array_contains(known, w)), rows).alias("best"), F.size(line).alias("words")))
+    near = F.transform("_lines", lambda line: F.when(F.arrays_overlap(line, heavy), scored(
+        F.filter(line, lambda w: F.array_contains(known, w)), rows)))
+    files = files.withColumn("_line_best", near)
+    # of a long line, as many words as the template has
+    lengths = F.array(*[F.lit(len(template_words(text))) for _, text in TEMPLATES])
+    near = F.zip_with("_lines", "_line_best", lambda line, x: F.struct(
+        x.alias("best"), F.least(F.size(line), F.get(lengths, x["template"])).alias("words")))
     files = files.withColumn("_near", F.filter(near, lambda x: x["best"]["score"] >= threshold))
-    best = F.array_max(F.transform("_near", lambda x: F.struct(x["best"]["score"], (-x["best"]["template"]).alias("t"))))
+    # all words, those of licence lines blank
+    rest = F.flatten(F.zip_with("_lines", "_line_best", lambda line, x: F.when(
+        x["score"] >= threshold, F.array_repeat(F.lit(""), F.size(line))).otherwise(line)))
+    files = files.withColumn("_rest", rest)
+    placed = F.filter(F.transform("_rest", lambda w, i: F.struct(w.alias("w"), i.alias("pos"))), lambda x: F.array_contains(known, x["w"]))
+    files = files.withColumn("_hits", F.when(F.arrays_overlap("_rest", heavy), placed).otherwise(
+        F.array().cast("array<struct<w:string,pos:int>>")))
+    files = files.withColumn("_windows", windows(weights, threshold))
+
+    def inside_of(x: Column) -> Column:
+        first = F.get("_hits", x["at"])["pos"]
+        inside = F.filter(F.slice("_hits", x["at"] + 1, x["words"]), lambda o: o["pos"] < first + x["words"])
+        return F.struct(scored(F.transform(inside, lambda o: o["w"]), rows).alias("best"), first.alias("first"),
+                        F.least(first + x["words"], F.size("_rest")).alias("last"))
+
+    files = files.withColumn("_window_best", F.filter(F.transform("_windows", inside_of), lambda x: x["best"]["score"] >= threshold))
+    ranked = lambda x: F.struct(x["best"]["score"], (-x["best"]["template"]).alias("t"))
+    best = F.array_max(F.concat(F.transform("_near", ranked), F.transform("_window_best", ranked)))
     names = F.array(*[F.lit(name) for name, _ in TEMPLATES])
     inside = F.aggregate("_near", F.lit(0), lambda total, x: total + x["words"])
-    # the words of the whole text are counted only where it has a licence line
-    share = F.when(F.size("_near") > 0, inside / F.greatest(F.size(words_of(F.col("text"))), F.lit(1)))
+    spans = F.array_sort(F.transform("_window_best", lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"))))
+    covered = F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), lambda s, x: F.struct(
+        F.greatest(s["end"], x["last"]).alias("end"),
+        (s["n"] + F.greatest(x["last"] - F.greatest(x["first"], s["end"]), F.lit(0))).alias("n")))["n"]
+    share = (inside + covered) / F.greatest(F.size("_rest"), F.lit(1))
+    named = F.regexp_extract("path", "[^/]*$", 0).rlike(FILE_NAME)
     return (files.withColumn("_best", best)
             .select("doc_id", "path", F.get(names, -F.col("_best.t")).alias("own_license"), F.col("_best.score").alias("own_score"),
-                    F.coalesce(share >= FILE_WORDS, F.lit(False)).alias("is_file")))
+                    (F.col("_best").isNotNull() & ((share >= FILE_WORDS) | named)).alias("is_file")))
 
 
 def directory(path: Column) -> Column:
