@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from tests.llm.helpers import docs
 from trendspark.llm import personal
 
@@ -54,3 +56,19 @@ def test_redaction_and_empty_table(spark):
     got = {r.doc_id: r.text for r in personal.redacted(docs(spark, ["x a@b.co y 1.2.3.4", None, "é a@b.co"])).collect()}
     assert got == {0: "x [email] y [ip]", 1: "", 2: "é [email]"}
     assert personal.span_digests(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.01, 0.1, 0.6])
+def test_forms_no_base_pattern_matches(spark, share):
+    """National numbers and spelled-out addresses are found whatever their share."""
+    n = 600
+    odd = round(n * share)
+    many = [f"call ({200 + i % 700}) 555-{1000 + i} or mail a{i} (at) host{i} (dot) com now" for i in range(odd)]
+    many += [f"call +1 ({200 + i % 700}) 555-{1000 + i} or mail a{i}@host{i}.com now" for i in range(odd, n)]
+    many += [f"lot {10 + i} {100 + i} {200 + i} of it" for i in range(60)]
+    found = {r.doc_id: r for r in personal.span_digests(docs(spark, many)).collect()}
+    for i in range(odd):
+        number, address = f"({200 + i % 700}) 555-{1000 + i}", f"a{i} (at) host{i} (dot) com"
+        at = [(k, many[i].index(x), many[i].index(x) + len(x)) for k, x in (("phone", number), ("email", address))]
+        assert found[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in at), many[i]
+    assert all(found[i].spans == "" for i in range(n, n + 60))

@@ -6,7 +6,9 @@ escapes them. High-recall generators therefore propose further spans, which may
 Each candidate has features of its format and of the characters around it, all in a few
 bins. Candidates of all documents are counted by kind, features and fold; whether a
 candidate is itself a base span is the weak label; a candidate inside a longer stretch that
-a base pattern ran over in vain has none. Boosted trees are fitted to these counts
+a base pattern ran over in vain has none. A form that no base pattern can match (a phone number
+without "+", a spelled-out address) is labelled by voters, namely check, surroundings and an
+announcing word, and has no label where they do not agree. Boosted trees are fitted to these counts
 (their number is bounded by the product of the bins, not by the documents), and for each
 kind the lowest score whose candidates reach TARGET precision on the fold held back is its
 threshold. A candidate above it that touches no base span, and no better candidate, is
@@ -133,6 +135,14 @@ def features(kind: str, span: Column) -> Column:
         flag(found.rlike(r"(?i)[(\[](?:at|dot)[)\]]")).alias("spelled"))
 
 
+def vote(kind: str, x: Column) -> tuple[Column, Column]:
+    """(whether no base pattern can match the form, its label by voters or null)."""
+    foreign = x["spelled"] == 1 if kind == "email" else x["plus"] == 0 if kind == "phone" else F.lit(False)
+    clean = (x["after_letter"] == 0) & (x["before_letter"] == 0) & (x["after_digits"] == 0) & (x["check"] == 1)
+    agreed = F.when(clean & (x["announced"] == 1), F.lit(1)).when(~clean & (x["announced"] == 0), F.lit(0))
+    return foreign, F.when(foreign, agreed)
+
+
 def detected(docs: DataFrame) -> DataFrame:
     """(doc_id, base, proposed): arrays of base spans and of candidates of each document."""
     docs = docs.select("doc_id", F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, STAND_IN).alias("text"))
@@ -158,8 +168,14 @@ def with_kind(docs: DataFrame, i: int, kind: str, there: Column) -> DataFrame:
         return F.exists(f"_failed_{kind}", lambda f: (f["first"] <= s["first"]) & (s["last"] <= f["last"])
                         & (f["last"] - f["first"] > s["last"] - s["first"]))
 
-    return docs.withColumn(f"_more_{kind}", F.transform(
-        f"_more_{kind}", lambda s: F.struct(*placed(s), features(kind, s).alias("x"), run_over(s).alias("open"))))
+    docs = docs.withColumn(f"_found_{kind}", F.transform(
+        f"_more_{kind}", lambda s: F.struct(*placed(s), features(kind, s).alias("x"), run_over(s).alias("over"))))
+
+    def labelled(s: Column) -> Column:
+        foreign, agreed = vote(kind, s["x"])
+        return F.struct(s["first"], s["kind"], s["last"], s["x"], (foreign | s["over"]).alias("open"), agreed.alias("vote"))
+
+    return docs.withColumn(f"_more_{kind}", F.transform(f"_found_{kind}", labelled))
 
 
 def same(a: Column, b: Column) -> Column:
@@ -169,9 +185,9 @@ def same(a: Column, b: Column) -> Column:
 def counted(found: DataFrame) -> list:
     """Candidates of all documents by kind, features and fold: how many, and how many are base spans."""
     rows = found.select((fold(F.col("doc_id"), FOLDS) == HELD).alias("held"), "base", F.explode("proposed").alias("c"))
-    rows = rows.where(~F.col("c.open"))
-    label = F.exists("base", lambda b: same(b, F.col("c")))
-    cells = rows.select("held", "c.kind", "c.x.*", label.cast("int").alias("label"))
+    rows = rows.where(~F.col("c.open") | F.col("c.vote").isNotNull())
+    label = F.coalesce(F.col("c.vote"), F.exists("base", lambda b: same(b, F.col("c"))).cast("int"))
+    cells = rows.select("held", "c.kind", "c.x.*", label.alias("label"))
     # a row per combination of bins at most
     return cells.groupBy("held", "kind", *FEATURES).agg(F.count("*").alias("n"), F.sum("label").alias("hits")).collect()
 
