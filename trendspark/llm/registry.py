@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendspark.llm import decontaminate, exact_dedup, forest_join, language, licenses, packing, personal, pitman_yor, quality, toxicity
+from trendspark.llm import (decontaminate, exact_dedup, forest_join, hard_negatives, language, licenses, packing,
+                            personal, pitman_yor, quality, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_licenses": licenses.op10_licenses,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_personal_data": personal.op2_personal_data,
         "op3_language": language.op3_language,
@@ -26,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_hard_negatives": hard_negatives.OP11_SQL,
         "op4_decontamination": decontaminate.OP4_SQL,
         "op7_jaccard_join": forest_join.OP7_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
