@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trendspark.llm.tables import table
-from trendspark.llm.vectors import Best, cells, each_cell, matrix, numbers, parts_for, task_number
+from trendspark.llm.vectors import Best, cells, each_cell, is_whole, matrix, numbers, parts_for, task_number
 from trendspark.scratch import cut
 
 GROUP = 8
@@ -238,9 +238,8 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, scale: int = SCALE, po
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"),
                              "embedding")
-    whole = (F.col("label").isNotNull() & F.col("embedding").isNotNull()
-             & F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf"))))
-    anchors = (vectors.where(is_anchor & F.col("vec_id").isNotNull() & whole)
+    anchors = (vectors.where(is_anchor & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
+                             & is_whole("embedding"))
                .groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("row"))
                .select("vec_id", "row.*"))
     anchors = cut(anchors, "anchors")

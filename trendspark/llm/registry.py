@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendspark.llm import (decontaminate, exact_dedup, forest_join, hard_negatives, language, licenses, packing,
-                            personal, pitman_yor, quality, toxicity)
+from trendspark.llm import (decontaminate, exact_dedup, forest_join, hard_negatives, language, licenses, nearest,
+                            packing, personal, pitman_yor, quality, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_licenses": licenses.op10_licenses,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_nearest": nearest.op12_nearest,
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_personal_data": personal.op2_personal_data,
         "op3_language": language.op3_language,

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,11 @@ def matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.n
     return out, whole
 
 
+def is_whole(embedding: Column | str) -> Column:
+    """True for vectors without a null, infinite or undefined component; null for a null vector."""
+    return F.forall(embedding, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))
+
+
 def numbers(column: pa.Array) -> np.ndarray:
     """A column of integers as int64, null as 0."""
     return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
