@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendspark.llm import (decontaminate, exact_dedup, forest_join, hard_negatives, language, licenses, nearest,
-                            packing, personal, pitman_yor, quality, toxicity)
+from trendspark.llm import (collocations, decontaminate, exact_dedup, forest_join, hard_negatives, language, licenses,
+                            nearest, packing, personal, pitman_yor, quality, toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_licenses": licenses.op10_licenses,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
         "op12_nearest": nearest.op12_nearest,
+        "op13_collocations": collocations.op13_collocations,
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_personal_data": personal.op2_personal_data,
         "op3_language": language.op3_language,
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op11_hard_negatives": hard_negatives.OP11_SQL,
+        "op13_collocations": collocations.OP13_SQL,
         "op4_decontamination": decontaminate.OP4_SQL,
         "op7_jaccard_join": forest_join.OP7_SQL,
         "op8_exact_dedup": exact_dedup.OP8_SQL,
