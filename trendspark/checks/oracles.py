@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from trendspark.checks import cluster_sql
 from trendspark.checks.queries import STOP_WORDS, TAGS
 
 _STOP = ", ".join(f"'{word}'" for word in STOP_WORDS)
@@ -405,6 +406,9 @@ def oracle_sql() -> dict[str, str]:
                   from stored s join texts t using (paper_id)
                   join (select txt, max(paper_id) last_id from texts group by txt) l on l.txt = t.txt
                   join papers p on p.paper_id = l.last_id where s.topic >= 0 group by s.category) s using (category)"""),
+        "tree_weights": cluster_sql.TREE_WEIGHTS,
+        "vector_clusters": cluster_sql.VECTOR_CLUSTERS,
+        "cluster_sizes": cluster_sql.CLUSTER_SIZES,
         "streamed_ingest": _with(["bridge"], """
             select arxiv_id, published, category from papers join bridge using (paper_id)"""),
         "streamed_keywords": _with(["kw"], """

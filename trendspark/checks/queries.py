@@ -13,8 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trendspark.checks import cluster_sql
 from trendspark.functions import dates
-from trendspark.functions.ordering import slice_rows
+from trendspark.functions.ordering import slice_rows, with_row_index
 from trendspark.functions.sizing import corpus_parameters
 from trendspark.functions.text import explode_spans, tokens
 from trendspark.operators import (cluster, correlate, ctfidf, distribution, graph, keywords, listing, neighbors,
@@ -435,6 +436,30 @@ def density_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.density_clusters(reduce.reduce_vectors(everything))
 
 
+def _planted(spark: SparkSession, sf: str) -> DataFrame:
+    """The first coordinates of the vectors, moved apart by their label: groups that touch."""
+    x = [F.col("embedding")[i].cast("double") for i in range(3)]
+    away = F.lit(cluster_sql.APART)
+    return table(spark, sf, "embeddings").select(
+        F.lit("all").alias("category"), F.col("vec_id").alias("paper_id"),
+        F.array(x[0] + away * (F.col("label") % 4), x[1] + away * F.floor(F.col("label") / 4), x[2]).alias("vector"))
+
+
+def tree_weights(spark: SparkSession, sf: str) -> DataFrame:
+    points = _planted(spark, sf)
+    tree = cluster.reachability_tree(points, cluster.size_limits(corpus_parameters(points)))
+    return with_row_index(tree, [F.col("w"), F.col("a"), F.col("b")], "rank").select(
+        "category", (F.col("rank") + 1).alias("rank"), r6("w").alias("w"))
+
+
+def vector_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return cluster.density_clusters(_planted(spark, sf))
+
+
+def cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_clusters(spark, sf).groupBy("category", "topic").agg(F.count("*").alias("papers"))
+
+
 def soft_membership(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.soft_membership(_points(spark, sf), testtables.assignments(spark, sf)).select(
         "category", "paper_id", "topic", r6("p").alias("p"))
@@ -574,7 +599,8 @@ REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     representative_docs, representative_papers, representative_table, topic_distribution, main_topics,
     topic_similarities, topic_correlations, correlation_range, text_topic_correlations, monthly_series,
     monthly_series_labels, monthly_series_orders, period_metadata, document_info, document_shares, deep_slice,
-    nearest_neighbours, core_distances, similarity_graph, reduced_vectors, density_clusters, soft_membership,
+    nearest_neighbours, core_distances, similarity_graph, reduced_vectors, density_clusters, tree_weights, vector_clusters, cluster_sizes,
+    soft_membership,
     text_embeddings, category_embeddings, stored_embeddings, embedding_keywords, diverse_keywords, keyword_chain, topic_model,
     trend_reports, streamed_ingest, streamed_keywords,
 ]
