@@ -97,7 +97,7 @@ def test_colliding_hashes_come_apart(spark, monkeypatch):
         w = re.findall(b"[^ \t]+", piece)
         want.update(tuple(w[i:i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
     got = Counter()
-    for n, (prints, places, counts) in enumerate(c.entries(body, "en", 3), 1):
+    for n, (prints, places, counts) in enumerate(c.entries(data, "en", 3), 1):
         assert (np.diff(prints.astype(float)) >= 0).all()
         first = np.searchsorted(starts, places)
         phrases = c._joined(data, starts, ends, first, np.full(len(first), n)).to_pylist()

@@ -41,11 +41,12 @@ FEWEST = 10  # occurrences of a candidate
 TOP = 2000  # of a language
 COVER = 50  # percent
 SCALE = 1_000_000
-CHUNK_BYTES = 8 << 20
-HELD_BYTES = 32 << 20  # of all languages in a task
+CHUNK_BYTES = 12 << 20
+HELD_BYTES = 36 << 20  # of all languages in a task
 RANGE_ENTRIES = 1 << 22  # occurrences for each range of fingerprints
 FEWEST_RANGES = 8
 PIECE = 1 << 20
+CODEC = "zstd"
 SALT_ROWS = 1 << 20
 
 # fixed values: what separates pieces, and what separates words
@@ -58,15 +59,17 @@ _ENTRIES = "part int, chunk_id long, sizes array<int>, prints binary, places bin
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """(chunk_id, lang, n_words, body): lower-cased texts of one language, each ended by a line feed."""
+    """(chunk_id, lang, n_words, n_bytes, body): lower-cased texts of one language, compressed, each ended by a line feed."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     docs = docs.select(lang.alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def chunk(lang: str, parts: list) -> pa.RecordBatch:
         body = np.concatenate(parts)
         n = len(words.spans(body, np.array([0, len(body)]), WORD)[0])
-        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([n], pa.int64()),
-                                           pa.array([body.tobytes()], pa.binary())], ["lang", "n_words", "body"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang]), pa.array([n], pa.int64()), pa.array([len(body)], pa.int64()),
+             pa.array([pa.compress(body.tobytes(), CODEC, asbytes=True)], pa.binary())],
+            ["lang", "n_words", "n_bytes", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -89,13 +92,31 @@ def chunked(docs: DataFrame) -> DataFrame:
         for lang, parts in held.items():
             yield chunk(lang, parts)
 
-    found = (docs.mapInArrow(run, "lang string, n_words long, body binary")
-             .select(F.monotonically_increasing_id().alias("chunk_id"), "lang", "n_words", "body"))
-    path = scratch_path(docs.sparkSession, "chunks")  # many large values a file: small row groups
-    found.write.option("compression", "zstd").option("parquet.block.size", 2 * CHUNK_BYTES).parquet(path)
+    found = (docs.mapInArrow(run, "lang string, n_words long, n_bytes long, body binary")
+             .select(F.monotonically_increasing_id().alias("chunk_id"), "lang", "n_words", "n_bytes", "body"))
+    path = scratch_path(docs.sparkSession, "chunks")  # a few large values a file: small row groups
+    found.write.option("compression", "none").option("parquet.block.size", CHUNK_BYTES).parquet(path)
     return docs.sparkSession.read.schema(found.schema).parquet(path)
 
 
+def _bodies(batch: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray]]:
+    """(row, language, bytes) of each chunk of a batch."""
+    for i in range(batch.num_rows):
+        body = pa.decompress(batch.column("body")[i].as_buffer(), batch.column("n_bytes")[i].as_py(), CODEC)
+        yield i, batch.column("lang")[i].as_py(), np.frombuffer(body, np.uint8)
+
+
+def planes(values: np.ndarray, kind: str) -> bytes:
+    """The lowest bytes of all values, then the next ones: those that are mostly zero compress well."""
+    wide = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1)
+    return wide.T.tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    wide = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(wide.T).view(kind).ravel()
+
+
 def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
     """Whether each word has the bytes of the word numbered by ``other``."""
     size = ends - starts
@@ -136,9 +157,8 @@ def fingerprints(hashed: np.ndarray, n: int, lang: np.uint64) -> np.ndarray:
     return words.mix((prefix[n:n + count] - prefix[:count]) * back + lang + np.uint64(n))
 
 
-def entries(body: bytes, lang: str, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def entries(data: np.ndarray, lang: str, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(fingerprint, place, count) of the distinct n-grams of a chunk for n = 1, 2, ..., by fingerprint."""
-    data = np.frombuffer(body, np.uint8)
     starts, ends, _ = words.spans(data, np.array([0, len(data)]), WORD)
     hashed = words.hashes(data, starts, ends)
     number = word_numbers(data, starts, ends, hashed)
@@ -171,8 +191,8 @@ def packed_entries(chunks: DataFrame, longest: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
         for batch in batches:
-            for i in range(batch.num_rows):
-                found = list(entries(batch.column("body")[i].as_py(), batch.column("lang")[i].as_py(), longest))
+            for i, lang, data in _bodies(batch):
+                found = list(entries(data, lang, longest))
                 cuts = [np.concatenate(([0], np.searchsorted(p, bounds), [len(p)])) for p, _, _ in found]
                 out = []
                 for part in range(1 << bits):
@@ -182,15 +202,15 @@ def packed_entries(chunks: DataFrame, longest: int, bits: int) -> DataFrame:
                         continue
                     prints, places, counts = (np.concatenate([f[k][s] for f, s in zip(found, own, strict=True)])
                                               for k in range(3))
-                    wide = places.astype("<u4").view(np.uint8).reshape(-1, 4)
                     out.append({"part": part, "chunk_id": batch.column("chunk_id")[i].as_py(),
-                                "sizes": [int(s) for s in sizes], "prints": prints.tobytes(),
-                                "places": b"".join(np.ascontiguousarray(wide[:, k]).tobytes() for k in range(4)),
+                                "sizes": [int(s) for s in sizes],
+                                "prints": planes(np.diff(prints, prepend=np.uint64(0)), "<u8"),  # rising, so small steps
+                                "places": planes(places, "<u4"),
                                 "counts": np.minimum(counts, 255).astype(np.uint8).tobytes(),
                                 "large": counts[counts >= 255].astype(np.int64).tobytes()})
                 yield pa.RecordBatch.from_pylist(out, schema=_schema())
 
-    return chunks.select("chunk_id", "lang", "body").mapInArrow(run, _ENTRIES)
+    return chunks.drop("n_words").mapInArrow(run, _ENTRIES)
 
 
 def _schema() -> pa.Schema:
@@ -226,12 +246,10 @@ def frequent_pointers(packed: DataFrame, bits: int, fewest: int) -> DataFrame:
         blocks = []
         for batch in batches:
             for row in batch.to_pylist():
-                prints = np.frombuffer(row["prints"], np.uint64)
-                wide = np.frombuffer(row["places"], np.uint8).reshape(4, -1)
+                prints = np.cumsum(from_planes(row["prints"], "<u8"), dtype=np.uint64)
                 counts = np.frombuffer(row["counts"], np.uint8).astype(np.int64)
                 counts[counts == 255] = np.frombuffer(row["large"], np.int64)
-                blocks.append((row["chunk_id"], prints, row["sizes"],
-                               np.ascontiguousarray(wide.T).view("<u4").ravel(), counts))
+                blocks.append((row["chunk_id"], prints, row["sizes"], from_planes(row["places"], "<u4"), counts))
         if blocks:
             yield from merged(blocks)
 
@@ -259,12 +277,10 @@ def phrases(chunks: DataFrame, pointers: DataFrame, fewest: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column("body")[i].as_buffer(), np.uint8)
+            for i, lang, data in _bodies(batch):
                 parts = batch.column("wanted")[i].as_py()
                 place, n, times = np.concatenate([np.frombuffer(p, np.int64).reshape(3, -1) for p in parts], axis=1)
                 starts, ends, _ = words.spans(data, np.array([0, len(data)]), WORD)
-                lang = batch.column("lang")[i].as_py()
                 for low in range(0, len(place), PIECE // 4):
                     own = slice(low, low + PIECE // 4)
                     text = _joined(data, starts, ends, np.searchsorted(starts, place[own]), n[own])
@@ -273,7 +289,7 @@ def phrases(chunks: DataFrame, pointers: DataFrame, fewest: int) -> DataFrame:
                         ["lang", "words", "phrase", "times"])
 
     wanted = pointers.groupBy("chunk_id").agg(F.collect_list("pointers").alias("wanted"))
-    return (chunks.select("chunk_id", "lang", "body").join(wanted, "chunk_id")
+    return (chunks.drop("n_words").join(wanted, "chunk_id")
             .mapInArrow(run, "lang string, words int, phrase string, times long")
             .groupBy("lang", "words", "phrase").agg(F.sum("times").alias("times"))
             .where(F.col("times") >= fewest))
