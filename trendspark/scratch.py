@@ -4,16 +4,70 @@ Iterative jobs (graph rounds, numbered rows) write their state as parquet and re
 back. A lost executor then costs one task, never the rounds before it, and each step is
 computed once: ``DataFrame.checkpoint`` computes an unpersisted plan twice, once to
 materialise and once to write.
+
+A job that knows when its tables are read for the last time opens a ``scope``. What is cut
+inside belongs to the scope and is deleted at its end, also when the job fails; only tables
+that are ``kept`` go on to the scope around it, or stay where there is none. Rounds ``drop``
+the tables of the round before. Nothing else is ever deleted.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_PATH = "_scratch_path"
+_open: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+class Scope:
+    """The scratch tables that one job owns."""
+
+    def __init__(self, around: Scope | None):
+        self.around, self.tables = around, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Hands a table that was cut in this scope on to the scope around it."""
+        path = getattr(df, _PATH)
+        if self.around is not None:
+            self.around.tables[path] = self.tables[path]
+        del self.tables[path]
+        return df
+
+
+@contextmanager
+def scope() -> Iterator[Scope]:
+    """Owns the tables cut inside; the block must not return anything that still reads them, but for kept ones."""
+    own = Scope(_open.get())
+    before = _open.set(own)
+    try:
+        yield own
+    finally:
+        _open.reset(before)
+        for path, spark in own.tables.items():
+            _delete(spark, path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more; other data frames are left alone."""
+    for df in tables:
+        path, own = getattr(df, _PATH, None), _open.get()
+        while own is not None and path is not None:
+            own.tables.pop(path, None)
+            own = own.around
+        if path is not None:
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,5 +94,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and continue from the written table."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if _open.get() is not None:  # also what a failed write leaves
+        _open.get().tables[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    setattr(written, _PATH, path)
+    return written
