@@ -106,9 +106,9 @@ def jobs(spark, sf_dir, tmp_path_factory):
 
 def test_whole_run(spark, jobs):
     base, repo, papers, vectors = jobs
-    assert {r.category for r in papers.select("category").distinct().collect()} == {"doc.en", "doc.fr"}
-    assert vectors.count() == papers.count() > 0
-    topics = papers.select("category", "paper_id", (F.pmod("paper_id", F.lit(4)) - 1).cast("int").alias("topic"))
+    assert {r.category for r in papers.members.select("category").distinct().collect()} == {"doc.en", "doc.fr"}
+    assert vectors.count() == papers.members.count() > 0
+    topics = papers.members.select("category", "paper_id", (F.pmod("paper_id", F.lit(4)) - 1).cast("int").alias("topic"))
     model = train.fit_topics(papers, vectors, encode.HashingEncoder(64), ["the", "of"], assignments=topics)
     root = str(base / "model")
     store.save_tables(model, root)
@@ -119,7 +119,7 @@ def test_whole_run(spark, jobs):
                for r in trends.write_reports(spark, papers, model, out, moment, ["the", "of"]).collect()}
     assert set(reports) == {"doc.en", "doc.fr"}
     english = reports["doc.en"]
-    count = papers.where("category = 'doc.en'").count()
+    count = papers.members.where("category = 'doc.en'").count()
     assert sum(sum(line) for line in english["topics"]["series"].values()) == count
     assert list(english["topics"]["series"]) == sorted(english["topics"]["series"])
     matrix = np.array(english["topics"]["correlations"], dtype=float)

@@ -102,3 +102,47 @@ def test_snapshot_skips_finished_categories(spark, tmp_path):
     again = store.snapshot(spark, spark.createDataFrame([("a", 9), ("b", 2)], "category string, v int"), path)
     assert sorted((r.category, r.v) for r in again.collect()) == [("a", 1), ("b", 2)]
     assert [r.v for r in store.read_by_category(spark, path, "B").collect()] == [2]
+
+
+def text_exchanges(df):
+    """Exchanges that pass on a title, an abstract or a whole text."""
+    def walk(node):
+        names = {node.output().apply(i).name() for i in range(node.output().size())}
+        if "Exchange" in node.nodeName() and names & {"title", "abstract", "text"}:
+            yield node.nodeName()
+        for i in range(node.children().size()):
+            yield from walk(node.children().apply(i))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    return list(walk(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan))
+
+
+def test_texts_stay_in_their_buckets(spark, tmp_path):
+    from trendspark.operators import ctfidf, distribution, keywords, represent
+
+    repo = store.PaperStore(spark, str(tmp_path), 12)
+    words = ["graph", "model", "deep", "net", "loss"]
+    repo.register(papers(spark, [(f"{i}v1", " ".join(words[i % 5:] * 3), ["A", "B"], D1) for i in range(40)]))
+    repo.register(papers(spark, [(f"{i}v1", "more graph words", ["A"], D2) for i in range(30, 60)]))
+    again = store.PaperStore(spark, str(tmp_path))
+    assert again.n_buckets == 12 and again.papers().count() == 60
+    topics = repo.bridge().select("category", "paper_id", (F.col("paper_id") % 3).cast("int").alias("topic"))
+    texts = store.Collection(repo.papers(), repo.bridge()).texts()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        classed = ctfidf.classed_texts(texts, topics)
+        counts = ctfidf.class_term_counts(classed)
+        daily = keywords.daily_counts(repo.papers(), repo.bridge())
+        windows = distribution.window_occurrences(texts, repo.bridge())
+        terms = counts.select("category", "topic", "term", "tf", F.lit(1.0).alias("idf"), F.lit(0.5).alias("score"))
+        docs = represent.representative_docs(texts, topics, terms)
+        plain = repo.papers().repartition(3).join(topics.select("paper_id").distinct(), "paper_id")
+        assert text_exchanges(plain)
+        for df in (classed, counts, daily, windows, docs):
+            assert "Bucketed: true" in df._jdf.queryExecution().executedPlan().toString()
+            assert not text_exchanges(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert daily.where("token = 'graph' and category = 'a'").agg(F.sum("count")).first()[0] > 0
+    assert classed.count() == 60 and docs.count() > 0

@@ -132,18 +132,19 @@ def papers_any_category(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snapshot_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    rows = listing.extraction(testtables.papers(spark, sf).drop("categories"), testtables.bridge(spark, sf))
-    path = scratch_path(spark, "snapshot")
+    papers, path = testtables.stored_papers(spark, sf), scratch_path(spark, "snapshot")
+    rows = listing.members(papers, testtables.bridge(spark, sf))
     store.snapshot(spark, rows, path)
-    return store.snapshot(spark, rows, path).groupBy("category").agg(
+    members = store.snapshot(spark, rows, path)
+    return listing.extraction(papers.select("paper_id", "arxiv_id", "published"), members).groupBy("category").agg(
         F.count("*").alias("n"), F.min("published").alias("first"), F.max("arxiv_id").alias("last_id"))
 
 
 def snapshot_one_category(spark: SparkSession, sf: str) -> DataFrame:
-    rows = listing.extraction(testtables.papers(spark, sf).drop("categories"), testtables.bridge(spark, sf))
-    path = scratch_path(spark, "snapshot")
-    store.write_by_category(rows, path)
-    return store.read_by_category(spark, path, "doc.FR").select("category", "paper_id", "title")
+    papers, path = testtables.stored_papers(spark, sf), scratch_path(spark, "snapshot")
+    store.write_by_category(listing.members(papers, testtables.bridge(spark, sf)), path)
+    members = store.read_by_category(spark, path, "doc.FR")
+    return listing.extraction(papers.select("paper_id", "title"), members)
 
 
 def pending_categories(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,7 +173,7 @@ def categories_with_prefix(spark: SparkSession, sf: str) -> DataFrame:
 # ---- keywords -------------------------------------------------------------------------
 
 def _keywords(spark: SparkSession, sf: str) -> DataFrame:
-    return keywords.daily_counts(testtables.papers(spark, sf), testtables.bridge(spark, sf), STOP_WORDS)
+    return keywords.daily_counts(testtables.stored_papers(spark, sf), testtables.bridge(spark, sf), STOP_WORDS)
 
 
 def keyword_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,7 +181,7 @@ def keyword_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyword_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    papers, bridge = testtables.papers(spark, sf), testtables.bridge(spark, sf)
+    papers, bridge = testtables.stored_papers(spark, sf), testtables.bridge(spark, sf)
     runs = [keywords.daily_counts(papers.where(F.col("published").between(*run)), bridge, STOP_WORDS)
             for run in (FIRST_RUN, SECOND_RUN)]
     return keywords.upsert(*runs).groupBy("token", "category").agg(
@@ -209,7 +210,7 @@ def tokenised_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return explode_spans(testtables.texts(spark, sf).repartition("paper_id"), STOP_WORDS).groupBy("paper_id", "n").agg(
+    return explode_spans(testtables.texts(spark, sf), STOP_WORDS).groupBy("paper_id", "n").agg(
         F.count("*").alias("terms"), F.countDistinct("term").alias("distinct_terms"))
 
 
@@ -520,15 +521,16 @@ def keyword_chain(spark: SparkSession, sf: str) -> DataFrame:
     return represent.run_chain(_context(spark, sf), train.default_models())
 
 
-def _papers_by_category(spark: SparkSession, sf: str) -> DataFrame:
-    return cut(listing.extraction(testtables.papers(spark, sf).drop("categories"), testtables.bridge(spark, sf)), "papers")
+def _collection(spark: SparkSession, sf: str) -> store.Collection:
+    papers = testtables.stored_papers(spark, sf)
+    return store.Collection(papers, cut(listing.members(papers, testtables.bridge(spark, sf)), "members"))
 
 
 def topic_model(spark: SparkSession, sf: str) -> DataFrame:
     """The whole fit, clustering included, on text embeddings; the stored tables are read back."""
-    papers = _papers_by_category(spark, sf)
+    papers = _collection(spark, sf)
     encoder = HashingEncoder(64)
-    vectors = papers.select("category", "paper_id").join(embed.encode_papers(papers, encoder), "paper_id")
+    vectors = papers.members.join(embed.encode_papers(papers.papers, encoder), "paper_id")
     path = scratch_path(spark, "model")
     store.save_tables(train.fit_topics(papers, cut(vectors, "vectors"), encoder, STOP_WORDS), path)
     return store.load_tables(spark, path, train.SCHEMAS)["topic_info"].select("category", "topic", "name", "count")
@@ -540,7 +542,7 @@ def _reports(spark: SparkSession, sf: str) -> DataFrame:
     model = {"vocabulary": terms, "assignments": testtables.assignments(spark, sf), "keywords": top,
              "representative_docs": _stored_docs(spark, sf)}
     moment = F.lit("2025-09-18 01:02:03").cast("timestamp")
-    return trends.write_reports(spark, _papers_by_category(spark, sf), model, scratch_path(spark, "reports"),
+    return trends.write_reports(spark, _collection(spark, sf), model, scratch_path(spark, "reports"),
                                 moment, STOP_WORDS)
 
 

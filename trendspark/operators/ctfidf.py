@@ -20,12 +20,11 @@ from trendspark.scratch import cut
 def classed_texts(texts: DataFrame, assignments: DataFrame) -> DataFrame:
     """(paper_id, text, classes): each text once, with its topic in every category it is in.
 
-    Texts are spread by paper first: the join needs that anyway where the assignments are
-    large, and splitting texts is the heavy part of what follows.
+    Texts that are bucketed by paper stay in their buckets; only the classes are sent there.
     """
     classes = assignments.groupBy("paper_id").agg(
         F.collect_set(F.struct("category", "topic")).alias("classes"))
-    return texts.repartition("paper_id").join(classes, "paper_id").select("paper_id", "text", "classes")
+    return texts.join(classes.hint("shuffle_hash"), "paper_id").select("paper_id", "text", "classes")
 
 
 def class_term_counts(classed: DataFrame, stop_words: Sequence[str] = (), longest: int = NGRAM_MAX) -> DataFrame:

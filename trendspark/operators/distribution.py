@@ -67,7 +67,7 @@ def window_occurrences(texts: DataFrame, categories: DataFrame, stop_words: Sequ
                        longest: int = NGRAM_MAX, window: int = WINDOW) -> DataFrame:
     """(category, paper_id, term, lo, hi, once) for every category of every paper."""
     names = categories.groupBy("paper_id").agg(F.collect_set("category").alias("_names"))
-    kept = texts.repartition("paper_id").join(names, "paper_id").select(
+    kept = texts.join(names.hint("shuffle_hash"), "paper_id").select(
         "paper_id", "_names",
         F.size(tokens(F.col("text"))).alias("_count"),
         kept_tokens(F.col("text"), stop_words).alias("_kept"))

@@ -27,7 +27,7 @@ def daily_counts(papers: DataFrame, bridge: DataFrame, stop_words: Sequence[str]
         return F.transform(kept, lambda token: F.struct(
             token["word"].alias("token"), F.lit(in_title).alias("in_title")))
 
-    split = papers.repartition("paper_id").join(names, "paper_id").select(
+    split = papers.join(names.hint("shuffle_hash"), "paper_id").select(
         "published", "_names", F.concat(words("title", 1), words("abstract", 0)).alias("_words"))
     # an outer explode: a plain one lets Spark test the words for emptiness, that is split the
     # texts, once more before they are spread

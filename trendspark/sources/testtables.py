@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendspark.functions.text import input_text
+from trendspark.scratch import scratch_path
+from trendspark.sources import buckets
 
 # fixed values
 FIRST_DAY = "2017-09-12"
@@ -63,6 +65,18 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("category", "paper_id", F.coalesce("label", F.lit(-1)).cast("int").alias("topic")))
 
 
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All papers as a store holds them, bucketed by paper_id; stored once for a session and folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stored:
+        _stored[key] = buckets.append(papers(spark, sf_dir), scratch_path(spark, "papers"), "paper_id",
+                                      buckets.default_buckets(spark))
+    return _stored[key]
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return papers(spark, sf_dir).select(
+    return stored_papers(spark, sf_dir).select(
         "paper_id", input_text(F.col("title"), F.col("abstract")).alias("text"))
