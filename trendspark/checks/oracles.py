@@ -163,7 +163,7 @@ def _with(names: list[str], body: str, extra: str = "") -> str:
     pieces = [f"{name} as materialized ({_SQL[name]})" for name in order]
     if extra:
         pieces.append(extra)
-    return "with " + ",\n".join(pieces) + "\n" + body
+    return "with recursive " + ",\n".join(pieces) + "\n" + body
 
 
 def _runs(first: str, last: str) -> str:
@@ -264,6 +264,18 @@ def oracle_sql() -> dict[str, str]:
               select category, term, count(*) df, sum(tf) f from ctf group by category, term) group by category, df"""),
         "class_tfidf": _with(["terms"], """
             select category, topic, term, tf, round(idf, 6) idf, round(score, 6) score from terms"""),
+        "class_tfidf_papers": _with(["ctf", "params"], """
+            select category, topic, term, tf, round(idf, 6) idf, round(tf / total::double * idf, 6) score
+            from (select t.*, s.total, ln((m.a + 1.0::double) / (v.f + 0.5::double)) idf
+                  from held t join vocab v using (category, term) join totals s using (category, topic)
+                  join (select category, floor(avg(total)) a from totals group by all) m using (category))""", """
+            vocab as materialized (
+              select category, term, f
+              from (select a.category, o.term, count(*) f, count(distinct a.paper_id) df
+                    from occ o join (select distinct category, paper_id from assign) a using (paper_id) group by all)
+              join params p using (category) where df between p.min_df and p.max_df),
+            held as materialized (select c.* from ctf c semi join vocab v using (category, term)),
+            totals as materialized (select category, topic, sum(tf) total from held group by all)"""),
         "topic_keywords": _with(["topw"], """
             select category, topic, cast(rank_ as int) as "rank", term, round(score, 6) score from topw"""),
         "topic_table": _with(["topw"], f"""
@@ -381,6 +393,37 @@ def oracle_sql() -> dict[str, str]:
               select x.id, list_distance(x.v, y.v) d,
                      row_number() over (partition by x.id order by list_distance(x.v, y.v)) k
               from points x join points y on x.id <> y.id), m where k = m.m""",
+        "similarity_graph": _with(["bridge"], """
+            select category, a, b, round(sum(w) - case when count(*) > 1 then min(w) * max(w) else 0 end, 6) weight
+            from (select category, least(paper_id, neighbor_id) a, greatest(paper_id, neighbor_id) b,
+                         case when distance <= rho or sigma <= 0 then 1 else exp(-(distance - rho) / sigma) end w
+                  from near join sigmas using (category, paper_id))
+            group by category, a, b""", """
+            points as materialized (select category, paper_id, cast(embedding as double[]) v
+              from bridge join embeddings on vec_id = paper_id),
+            near as materialized (
+              select * from (
+                select category, paper_id, neighbor_id, distance,
+                       row_number() over (partition by category, paper_id order by distance, neighbor_id) rank_ from (
+                  select x.category, x.paper_id, y.paper_id neighbor_id,
+                         round(1 - list_dot_product(x.v, y.v) / sqrt(list_dot_product(x.v, x.v) * list_dot_product(y.v, y.v)), 9) distance
+                  from points x join points y on x.category = y.category and x.paper_id <> y.paper_id))
+              where rank_ <= 10),
+            bisected as (
+              select category, paper_id, 0 step, 0::double lo, cast('infinity' as double) hi, 1::double mid,
+                     list(distance order by distance, neighbor_id) ds,
+                     coalesce(min(distance) filter (where distance > 0), 0) rho
+              from near group by category, paper_id
+              union all
+              select category, paper_id, step + 1, case when above then lo else mid end,
+                     case when above then mid else hi end,
+                     case when not above and hi = cast('infinity' as double) then mid * 2
+                          else (case when above then lo else mid end + case when above then mid else hi end) / 2 end, ds, rho
+              from (select *, list_sum(list_transform(ds, lambda x: case when x > rho then exp(-(x - rho) / mid) else 1 end))
+                              > log2(len(ds)) above from bisected)
+              where step < 64),
+            sigmas as materialized (
+              select category, paper_id, rho, greatest(mid, list_avg(ds) * 0.001) sigma from bisected where step = 64)"""),
         "soft_membership": _with(["assign"], """
             select category, paper_id, topic, round(w / sum(w) over (partition by category, paper_id), 6) p from weights""", """
             cells as materialized (select a.category, a.paper_id, a.topic, i, x from assign a join (

@@ -247,6 +247,14 @@ def class_tfidf(spark: SparkSession, sf: str) -> DataFrame:
         "category", "topic", "term", "tf", r6("idf").alias("idf"), r6("score").alias("score"))
 
 
+def class_tfidf_papers(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with the bounds on the number of papers that hold a term."""
+    assigned = testtables.assignments(spark, sf)
+    scores = ctfidf.fit(testtables.texts(spark, sf), assigned, corpus_parameters(assigned), STOP_WORDS, df_scope="paper")
+    return ctfidf.topic_terms(scores).select(
+        "category", "topic", "term", "tf", r6("idf").alias("idf"), r6("score").alias("score"))
+
+
 def _top_words(spark: SparkSession, sf: str, n: int = 10) -> DataFrame:
     return ctfidf.top_terms(ctfidf.topic_terms(_scores(spark, sf)), n, digits=9)
 
@@ -597,7 +605,7 @@ REGISTERED: list[Callable[[SparkSession, str], DataFrame]] = [
     papers_of_category, papers_any_category, snapshot_by_category, snapshot_one_category, pending_categories,
     category_dimension, categories_with_prefix, keyword_daily_counts, keyword_upsert, keywords_of_month,
     keywords_of_day, input_texts, tokenised_texts, ngram_counts, size_parameters, topic_sizes,
-    class_term_totals, document_frequencies, class_tfidf, topic_keywords, topic_table, keyword_tag_patterns,
+    class_term_totals, document_frequencies, class_tfidf, class_tfidf_papers, topic_keywords, topic_table, keyword_tag_patterns,
     representative_docs, representative_papers, representative_table, topic_distribution, main_topics,
     topic_similarities, topic_correlations, correlation_range, text_topic_correlations, monthly_series,
     monthly_series_labels, monthly_series_orders, period_metadata, document_info, document_shares, deep_slice,

@@ -7,13 +7,16 @@ nothing of it is collected or broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendspark.functions.arrays import by_topic, of_topic
-from trendspark.functions.text import NGRAM_MAX, kept_tokens, spans
+from trendspark.functions.ngrams import Words, runs, token_slices
+from trendspark.functions.text import NGRAM_MAX, kept_tokens, spans, tokens
 from trendspark.scratch import cut
 
 
@@ -28,12 +31,41 @@ def classed_texts(texts: DataFrame, assignments: DataFrame) -> DataFrame:
 
 
 def class_term_counts(classed: DataFrame, stop_words: Sequence[str] = (), longest: int = NGRAM_MAX) -> DataFrame:
-    """(category, topic, term, tf). Counted within the task first, so a hot topic shuffles few rows."""
-    kept = classed.select("classes", kept_tokens(F.col("text"), stop_words).alias("_kept"))
-    terms = kept.select("classes", F.explode(F.transform(
-        spans(F.col("_kept"), longest), lambda span: span["term"])).alias("term"))
-    return (terms.select("term", F.explode("classes").alias("_class"))
-            .groupBy("_class.category", "_class.topic", "term").agg(F.count("*").alias("tf")))
+    """(category, topic, term, tf).
+
+    Texts are split in the JVM; n-grams are numbered and counted in Arrow batches, so that a
+    hot topic shuffles a row per term and slice of a task, and strings are made for distinct
+    terms only.
+    """
+    stop = pa.array(list(stop_words), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in token_slices(batches):
+            yield from _counted(rows, stop, longest)
+
+    partial = classed.select("classes", tokens(F.col("text")).alias("tokens")).mapInArrow(
+        run, "category string, topic int, term string, tf long")
+    return partial.groupBy("category", "topic", "term").agg(F.sum("tf").alias("tf"))
+
+
+def _counted(rows: pa.RecordBatch, stop: pa.Array, longest: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams of a slice of papers per class, n by n."""
+    words, classes = Words(rows["tokens"], stop), rows["classes"].flatten()
+    name, topic = classes.field("category").dictionary_encode(), classes.field("topic").to_numpy(zero_copy_only=False)
+    per = rows["classes"].value_lengths().to_numpy(zero_copy_only=False)
+    first = np.cumsum(per) - per
+    both, class_of = np.unique(np.stack((name.indices.to_numpy(), topic)), axis=1, return_inverse=True)
+    class_of = class_of.ravel()
+    for _, starts, gram, distinct, spell in words.grams(longest):
+        paper = words.paper[starts]
+        times = per[paper]
+        at = np.repeat(first[paper], times) + runs(times)
+        key, tf = np.unique(class_of[at] * distinct + np.repeat(gram, times), return_counts=True)
+        owner = key // distinct
+        if len(key):
+            yield pa.RecordBatch.from_arrays(
+                [name.dictionary.take(pa.array(both[0][owner])), pa.array(both[1][owner].astype(np.int32)),
+                 spell(key % distinct), pa.array(tf.astype(np.int64))], ["category", "topic", "term", "tf"])
 
 
 def paper_document_frequency(classed: DataFrame, stop_words: Sequence[str] = (),
@@ -56,17 +88,18 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 def postings(counts: DataFrame, parameters: DataFrame, paper_df: DataFrame | None = None) -> DataFrame:
     """(category, term, df, f, postings) of the terms within min_df .. max_df.
 
-    df counts classes; give ``paper_df`` to bound by papers instead. The counts are spread
-    by term once, for the bounds and for the lists. A term has at most one row per topic.
-    Lists are built for terms within the bounds only, a small part of all n-grams.
+    df counts classes; give ``paper_df`` to bound by papers instead. The bounds come from a
+    grouping without lists; only the terms within them, a small part of all n-grams, are
+    looked up again for their lists. A term has at most one row per topic.
     """
-    same_term = Window.partitionBy("category", "term")
-    sized = counts.withColumns({"df": F.count("*").over(same_term), "f": F.sum("tf").over(same_term)})
+    same = ["category", "term"]
+    sized = document_frequency(counts)
     if paper_df is not None:
-        sized = sized.drop("df").join(paper_df, ["category", "term"])
-    return (sized.join(parameters.select("category", "min_df", "max_df"), "category")
-            .where((F.col("df") >= F.col("min_df")) & (F.col("df") <= F.col("max_df")))
-            .groupBy("category", "term", "df", "f")
+        sized = sized.drop("df").join(paper_df, same)
+    within = (sized.join(parameters.select("category", "min_df", "max_df"), "category")
+              .where((F.col("df") >= F.col("min_df")) & (F.col("df") <= F.col("max_df")))
+              .select(*same, "df", "f"))
+    return (counts.join(within.hint("shuffle_hash"), same).groupBy(*same, "df", "f")
             .agg(F.collect_list(F.struct("topic", "tf")).alias("postings")))
 
 

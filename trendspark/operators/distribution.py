@@ -5,10 +5,10 @@ their class-TF-IDF weights; similarities below 0.1 count as 0; a paper's share o
 is the sum over its windows, scaled to 1. Every window of a paper has the same length, so
 no step per token is needed.
 
-Both parts of the cosine are sums over n-gram occurrences: an occurrence lies in a range of
-windows, adds idf x score to the product with each of its topics, and idf squared to the
-squared norm. An equal pair inside a window adds 2 x idf squared more. So the vocabulary is
-joined once per occurrence, not once per window.
+A term of a paper is one row with the list of its occurrences, each a range of windows. The
+vocabulary is joined once per row, so a term's weights pass the shuffle once per paper. In a
+window a term weighs its count times its idf: that adds to the product with each of its
+topics, and squared to the squared norm.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendspark.functions.arrays import by_topic, of_topic
-from trendspark.functions.text import NGRAM_MAX, kept_tokens, tokens
+from trendspark.functions.ngrams import Words, runs, token_slices
+from trendspark.functions.text import NGRAM_MAX, tokens
+from trendspark.operators.sieve import sieve
 from trendspark.scratch import cut
 
 # fixed values
@@ -32,49 +34,46 @@ DIGITS = 9
 STEP = 4_000_000  # window-topic additions expanded at once
 
 
-def _occurrences(kept: Column, count: Column, longest: int, window: int) -> Column:
-    """array of (term, lo, hi, once): windows lo..hi hold the occurrence, or the equal pair if not once."""
-    last_start = F.greatest(count - F.lit(window), F.lit(0))
-
-    def word(k: Column, n: int) -> Column:
-        return F.concat_ws(" ", *[kept[k + F.lit(j)]["word"] for j in range(n)])
-
-    def held(first: Column, last: Column):
-        return F.greatest(last - F.lit(window - 1), F.lit(0)), F.least(first, last_start)
-
-    def found(n: int, back: int) -> Column:
-        def entry(k: Column) -> Column:
-            lo, hi = held(kept[k - F.lit(back)]["at"], kept[k + F.lit(n - 1)]["at"])
-            return F.struct(word(k, n).alias("term"), lo.alias("lo"), hi.alias("hi"),
-                            F.lit(back == 0).alias("once"))
-
-        def repeats(k: Column) -> Column:
-            same = k >= back
-            for j in range(n):
-                same = same & (kept[k + F.lit(j)]["word"] == kept[k + F.lit(j - back)]["word"])
-            return same
-
-        starts = F.coalesce(
-            F.when(F.size(kept) >= n, F.sequence(F.lit(0), F.size(kept) - F.lit(n))),
-            F.array().cast("array<int>"))
-        return F.transform(F.filter(starts, repeats) if back else starts, entry)
-
-    parts = [found(n, back) for n in range(1, longest + 1) for back in range(max(window - n + 1, 1))]
-    return F.filter(F.concat(*parts), lambda o: o["lo"] <= o["hi"])
-
-
 def window_occurrences(texts: DataFrame, categories: DataFrame, stop_words: Sequence[str] = (),
                        longest: int = NGRAM_MAX, window: int = WINDOW) -> DataFrame:
-    """(category, paper_id, term, lo, hi, once) for every category of every paper."""
-    names = categories.groupBy("paper_id").agg(F.collect_set("category").alias("_names"))
-    kept = texts.join(names.hint("shuffle_hash"), "paper_id").select(
-        "paper_id", "_names",
-        F.size(tokens(F.col("text"))).alias("_count"),
-        kept_tokens(F.col("text"), stop_words).alias("_kept"))
-    found = kept.select("paper_id", "_names", F.explode(
-        _occurrences(F.col("_kept"), F.col("_count"), longest, window)).alias("_o"))
-    return found.select(F.explode("_names").alias("category"), "paper_id",
-                        "_o.term", "_o.lo", "_o.hi", "_o.once")
+    """(category, paper_id, term, lo, hi): windows lo[k] .. hi[k] hold the k-th occurrence of the paper's term.
+
+    One row per paper and distinct term, for every category of the paper.
+    """
+    names = categories.groupBy("paper_id").agg(F.collect_set("category").alias("names"))
+    split = texts.join(names.hint("shuffle_hash"), "paper_id").select(
+        "paper_id", "names", tokens(F.col("text")).alias("tokens"))
+    stop = pa.array(list(stop_words), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in token_slices(batches):
+            yield from _placed(rows, stop, longest, window)
+
+    found = split.mapInArrow(run, "paper_id long, names array<string>, term string, lo array<int>, hi array<int>")
+    return found.select(F.explode("names").alias("category"), "paper_id", "term", "lo", "hi")
+
+
+def _placed(rows: pa.RecordBatch, stop: pa.Array, longest: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Position lists of the terms of some papers, n by n. Occurrences longer than a window are in none."""
+    words = Words(rows["tokens"], stop)
+    last_start = np.maximum(words.lengths - window, 0)
+    for n, starts, gram, distinct, spell in words.grams(longest):
+        paper = words.paper[starts]
+        lo = np.maximum(words.place[starts + n - 1] - (window - 1), 0)
+        hi = np.minimum(words.place[starts], last_start[paper])
+        inside = np.flatnonzero(lo <= hi)
+        key = paper[inside] * distinct + gram[inside]
+        order = np.argsort(key, kind="stable")
+        key, inside = key[order], inside[order]
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        bounds = pa.array(np.r_[begin, len(key)].astype(np.int32))
+        owner = pa.array(key[begin] // distinct)
+        if len(begin):
+            yield pa.RecordBatch.from_arrays(
+                [rows["paper_id"].take(owner), rows["names"].take(owner), spell(key[begin] % distinct),
+                 pa.ListArray.from_arrays(bounds, pa.array(lo[inside].astype(np.int32))),
+                 pa.ListArray.from_arrays(bounds, pa.array(hi[inside].astype(np.int32)))],
+                ["paper_id", "names", "term", "lo", "hi"])
 
 
 def topic_weights(scores: DataFrame) -> DataFrame:
@@ -90,46 +89,49 @@ def topic_weights(scores: DataFrame) -> DataFrame:
                          F.filter(scaled, lambda w: w["v"].isNotNull() & (w["topic"] >= 0)).alias("weights"))
 
 
-def _runs(counts: np.ndarray) -> np.ndarray:
-    """0 .. n-1 for each n of ``counts``, one after the other."""
-    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(where each list begins, its length, the values)."""
+    at = column.offsets.to_numpy().astype(np.int64)
+    return at[:-1], np.diff(at), column.values
 
 
 def _shares(rows: pa.Table, min_similarity: float) -> pa.RecordBatch:
-    """Topic shares of the papers whose joined occurrences are ``rows``, all of a paper together."""
+    """Topic shares of the papers whose joined terms are ``rows``, all of a paper together."""
     category = rows["category"].combine_chunks()
     paper = rows["paper_id"].to_numpy()
     code = category.dictionary_encode().indices.to_numpy()
     start = np.flatnonzero(np.r_[True, (paper[1:] != paper[:-1]) | (code[1:] != code[:-1])])
     group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(paper)]))
-    lo, hi = rows["lo"].to_numpy().astype(np.int64), rows["hi"].to_numpy().astype(np.int64)
-    once, idf = rows["once"].to_numpy(), rows["idf"].to_numpy()
-    windows = np.maximum.reduceat(hi, start) + 1
-    first = (np.cumsum(windows) - windows)[group] + lo
+    idf = rows["idf"].to_numpy()
+    at, size, lo = _lists(rows["lo"].combine_chunks())
+    hi = rows["hi"].combine_chunks().values.to_numpy().astype(np.int64)
+    term = np.repeat(np.arange(len(paper)), size)
+    place = np.repeat(at, size) + runs(size)
+    lo, hi = lo.to_numpy().astype(np.int64)[place], hi[place]
+    windows = np.zeros(len(start), np.int64)
+    np.maximum.at(windows, group[term], hi + 1)
+    first = np.cumsum(windows) - windows
+    total = int(windows.sum())
+
+    # how often each term is in each of its windows
     width = hi - lo + 1
+    inside, times = np.unique(np.repeat(term, width) * total + np.repeat(first[group[term]] + lo, width) + runs(width),
+                              return_counts=True)
+    term, window = inside // total, inside % total
+    square = np.bincount(window, (times * idf[term]) ** 2, total)
 
-    def by_window(chosen: np.ndarray) -> np.ndarray:
-        return np.repeat(first[chosen], width[chosen]) + _runs(width[chosen])
-
-    everything = np.arange(len(paper))
-    square = np.bincount(by_window(everything), np.repeat(idf * idf * np.where(once, 1.0, 2.0), width), windows.sum())
-
-    lists = rows["weights"].combine_chunks()
-    size = lists.value_lengths().to_numpy().astype(np.int64) * once
-    at = lists.offsets.to_numpy().astype(np.int64)[:-1]
-    topics = lists.values.field("topic").to_numpy()
-    values = lists.values.field("v").to_numpy()
+    begin, size, weights = _lists(rows["weights"].combine_chunks())
+    topics, values = weights.field("topic").to_numpy(), weights.field("v").to_numpy()
     topic_count = int(topics.max(initial=0)) + 1
     keys, sums = [], []
-    ends = np.cumsum(size * width)
+    ends = np.cumsum(size[term])
     cut_at = np.searchsorted(ends, np.arange(0, ends[-1] + STEP, STEP), side="left")
-    for chosen in (everything[a:b] for a, b in zip(cut_at, np.r_[cut_at[1:], len(paper)]) if b > a):
-        row = np.repeat(chosen, size[chosen])
-        entry = np.repeat(at[chosen], size[chosen]) + _runs(size[chosen])
-        key = by_window(row) * topic_count + np.repeat(topics[entry], width[row])
-        found, place = np.unique(key, return_inverse=True)
+    for low, high in zip(cut_at, np.r_[cut_at[1:], len(term)], strict=True):
+        each = size[term[low:high]]
+        entry = np.repeat(begin[term[low:high]], each) + runs(each)
+        found, place = np.unique(np.repeat(window[low:high], each) * topic_count + topics[entry], return_inverse=True)
         keys.append(found)
-        sums.append(np.bincount(place, np.repeat(values[entry], width[row]), len(found)))
+        sums.append(np.bincount(place, np.repeat(times[low:high], each) * values[entry], len(found)))
     key, place = np.unique(np.concatenate(keys), return_inverse=True)
     dot = np.bincount(place, np.concatenate(sums), len(key))
     window = key // topic_count
@@ -178,14 +180,16 @@ def topic_distribution(texts: DataFrame, categories: DataFrame, scores: DataFram
                        window: int = WINDOW, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Sparse (category, paper_id, topic, p), p > 0, summing to 1 per paper; papers without mass are absent.
 
-    Three shuffles: texts by paper, occurrences by term for the join with the vocabulary,
-    joined occurrences by paper for the sums. Sums are taken in Arrow batches of whole
-    papers, so a task holds one batch and at most one paper beyond it.
+    Two shuffles: position lists by term for the join with the vocabulary, and joined by
+    paper for the sums. Terms outside the vocabulary, most of all n-grams, are sieved out
+    before the first. Sums are taken in Arrow batches of whole papers, so a task holds one
+    batch and at most one paper beyond it.
     """
     found = window_occurrences(texts, categories, stop_words, longest, window)
     weights = topic_weights(scores)
+    found = sieve(found, [F.col("category"), F.col("term")], scores.select("category", "term"))[1]
     rows = (found.join(weights, ["category", "term"])
-            .select("category", "paper_id", "lo", "hi", "once", "idf", "weights")
+            .select("category", "paper_id", "lo", "hi", "idf", "weights")
             .repartition("category", "paper_id").sortWithinPartitions("category", "paper_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
