@@ -21,7 +21,7 @@ def toxic_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_copies_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
-    return exact_dedup.keep_first(docs, exact_dedup.exact_duplicates(docs))
+    return exact_dedup.keep_first(docs)
 
 
 def near_copies_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

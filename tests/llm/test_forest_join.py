@@ -81,3 +81,13 @@ def test_components(spark):
     for r in found.collect():
         groups[r.root].add(r.node)
     assert sorted(map(sorted, groups.values())) == [list(range(200)), [1000, 1001, 1002]]
+
+
+def test_null_ids_link(spark):
+    words = [f"w{i}" for i in range(100)]
+    near, far = " ".join(words + ["more"]), " ".join(f"v{i}" for i in range(50))
+    for other in (None, 3):
+        table = spark.createDataFrame([(1, " ".join(words)), (other, near), (None, far), (None, far + " x")],
+                                      "doc_id long, text string")
+        got = {(r.doc_id, r.class_id, r.n_links) for r in forest_join.similar_documents(table).collect()}
+        assert got == {(1, 1, 1), (other, 1, 1), (None, None, 1)}

@@ -35,10 +35,10 @@ from pyspark.sql import types as T
 
 from trendspark.llm import words
 from trendspark.llm.tables import arrow_schema, keyed, slices, table, utf8, without
-from trendspark.scratch import cut
+from trendspark.scratch import cut, scope
 
 WINDOW = 10
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 ITEM_BYTES = 4 << 20
 CANDIDATES = 1 << 20  # at once, in a task
 _HIT = "array<struct<first:int,last:int>>"
@@ -323,8 +323,10 @@ def contamination_digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a match, with all their columns."""
-    dirty = contamination(keyed(docs), benchmark).where(F.size("hits") > 0).select("doc_id.*")
-    return without(docs, cut(dirty, "contaminated"))
+    with scope() as own:
+        dirty = contamination(keyed(docs), benchmark).where(F.size("hits") > 0).select("doc_id.*")
+        dirty = own.keep(cut(dirty, "contaminated"))
+    return without(docs, dirty)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trendspark.llm.tables import arrow_schema, same_row, slices, table, without
-from trendspark.scratch import cut
+from trendspark.llm.tables import among, arrow_schema, free_name, slices, table, without
+from trendspark.scratch import cut, scope
 
 SHORTEST, LONGEST = 512, 16_384
 CUT_BITS = 10  # one byte in 1,024 may end a chunk
@@ -141,16 +141,19 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
                     "text_sha256"))
 
 
-def keep_first(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that ``decisions`` keeps, with all their columns."""
-    dropped = cut(decisions.where(~F.col("kept")), "dropped")
+    with scope() as held:
+        decisions = exact_duplicates(docs) if decisions is None else decisions
+        dropped = held.keep(cut(decisions.where(~F.col("kept")), "dropped"))
     own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     left = without(docs, dropped.where(~own))
     repeated = dropped.where(own).select("doc_id", "text_sha256").distinct()
     if repeated.isEmpty():
         return left
-    one = same_row(left, repeated)
-    once = one[0].join(one[1], one[2], "left_semi").dropDuplicates(["doc_id", one[3]]).drop(one[3])
+    sha = free_name(docs.columns, "row_sha")
+    some = among(left, repeated).withColumn(sha, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    once = some.dropDuplicates(["doc_id", sha]).drop(sha)
     return without(left, repeated).unionByName(once)
 
 

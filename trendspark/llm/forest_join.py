@@ -17,8 +17,8 @@ The shortened depth and the agreement bound follow from the threshold and the tw
 rates of misses below; they do not depend on the data.
 
 Edge cases: a text of fewer words than a shingle is one shingle; a null text or one without
-words resembles nothing and is a class of its own row; rows that repeat are copies; an empty
-table gives no rows.
+words resembles nothing and is a class of its own row; rows that repeat are copies; a null id
+is no class's smallest id unless all its ids are null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 
 from trendspark.llm import words
 from trendspark.llm.components import components
-from trendspark.llm.tables import arrow_schema, keyed, slices, table, without
-from trendspark.scratch import cut
+from trendspark.llm.tables import arrow_schema, keyed, sieve, slices, table, without
+from trendspark.scratch import cut, scope
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -316,8 +316,9 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     sizes = cut(groups.groupBy("group").agg(F.count("*").alias("n")), "group-sizes")
     groups = cut(groups.join(texts.select("text_key", "first_id", "copies"), "text_key"), "groups")
     # the whole texts of one document of each text that has candidates
-    wanted = groups.select(F.col("first_id").alias("doc_id")).distinct()
-    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi")).join(groups.select("text_key"), "text_key", "left_semi")
+    wanted = groups.select("first_id").distinct()
+    some = sieve(docs, [F.col("doc_id")], wanted)[1].join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    sets = shingle_sets(some).join(groups.select("text_key"), "text_key", "left_semi")
     sets = cut(sets.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "sets")
     members = in_blocks(groups.select("text_key", "group", "copies"), "group", "text_key", GROUP_BLOCK, sizes)
     found = cut(compared(members.join(sets, "text_key"), threshold), "compared")
@@ -328,7 +329,7 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
     linked = roots.join(groups.select("text_key", "first_id"), "text_key").join(links, "text_key")
     first = linked.groupBy("root").agg(F.min("first_id").alias("class_id"))
     linked = linked.join(first, "root").select("text_key", "class_id", "linked_texts", "linked_docs")
-    alone = F.col("class_id").isNull()
+    alone = F.col("linked_texts").isNull()
     info = (texts.select("text_key", "first_id", "copies").join(linked, "text_key", "left")
             .where((F.col("copies") > 1) | ~alone)
             .select("text_key", F.coalesce("class_id", "first_id").alias("class_id"), "copies",
@@ -344,9 +345,11 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFram
 
 def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are the first of their class, with all their columns."""
-    found = similar_documents(keyed(docs), threshold)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id.*")
-    return without(docs, cut(gone, "near-copies"))
+    with scope() as own:
+        found = similar_documents(keyed(docs), threshold)
+        gone = found.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id.*")
+        gone = own.keep(cut(gone, "near-copies"))
+    return without(docs, gone)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 from trendspark.llm import words
 from trendspark.llm.learn import hashed_share, known_labels, learning, per_class_sample, sample_texts, sigmoid
-from trendspark.llm.tables import arrow_schema, fold, keyed, slices, table, utf8, without
-from trendspark.scratch import cut
+from trendspark.llm.tables import arrow_schema, fold, slices, table, utf8
+from trendspark.scratch import cut, scope
 
 FOLDS, HELD = 5, 0
 SAMPLE = 3000  # labelled rows of each class, and as many rows of any kind, that the classifier sees
@@ -359,27 +359,42 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     return lexicon_parts, known_parts(everything, features), weights
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_of=None, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, score): one row per row of ``docs``. ``id_of`` finds the integer id inside ``doc_id``."""
+def scorer(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+    """A function that scores texts, given as bytes and where each begins; it is sent to the tasks."""
+    lexicon, features, weights = fit(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels, sample)
+
+    def scores(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        x = np.concatenate((features.present(data, at), lexicon.present(data, at), pattern_votes(data, at)), 1)
+        return sigmoid(x @ weights[:-1] + weights[-1])
+
+    return scores
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, score): one row per row of ``docs``."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    plain = docs if id_of is None else docs.select(id_of(F.col("doc_id")).alias("doc_id"), "text")
-    lexicon, features, weights = fit(plain, labels, sample)
+    scores = scorer(docs, labels, sample)
     schema = T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
     out_schema = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in slices(batches):
-            x = np.concatenate((features.present(data, at), lexicon.present(data, at), pattern_votes(data, at)), 1)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sigmoid(x @ weights[:-1] + weights[-1]), pa.float64())],
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(scores(data, at), pa.float64())],
                                              schema=out_schema)
 
     return docs.mapInArrow(run, schema)
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score below one half, with all their columns."""
-    scored = toxicity_scores(keyed(docs), labels, lambda key: key["doc_id"])
-    return without(docs, cut(scored.where("score >= 0.5").select("doc_id.*"), "toxic"))
+    """The rows of ``docs`` that score below one half, with all their columns; filtered where they are read."""
+    with scope():
+        scores = scorer(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in slices(batches):
+            yield rows.filter(pa.array(scores(data, at) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
