@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendspark.operators.sieve import free_name, sieve
+
 SLICE_BYTES = 4 << 20
-SLOT_BITS, BITS_EACH = 20, 16  # of the sieve: at most 2**20 words, 16 bits a key while that suffices
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,14 +23,6 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(parts)
 
 
-def free_name(taken: list[str], wish: str) -> str:
-    """A column name that no column of ``taken`` has (names are compared without case)."""
-    lower = {name.lower() for name in taken}
-    while wish.lower() in lower:
-        wish += "_"
-    return wish
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with the id and the text's digest together as the id.
 
@@ -48,30 +41,6 @@ def same_row(docs: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame, C
     return docs, other, F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(sha) == F.col(other_sha)), sha
 
 
-def sieve(rows: DataFrame, own: list[Column], keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key is surely not among ``keys``, the other rows).
-
-    A blocked Bloom filter over the keys, one 64-bit word a slot, is broadcast: at most
-    2**SLOT_BITS words, whatever the number of keys. With more keys than it is made for, more rows
-    are let through, none is lost. The rows themselves are not shuffled.
-    """
-    n = keys.count()
-    if not n:
-        return rows, rows.where(F.lit(False))
-    slots = 1 << max(0, min(SLOT_BITS, (n * BITS_EACH // 64).bit_length()))
-    hashed, slot, mask, word = (free_name(rows.columns, x) for x in ("hash", "slot", "mask", "word"))
-
-    def placed(df: DataFrame, columns: list) -> DataFrame:
-        bits = [f"shiftleft(1L, cast(shiftrightunsigned({hashed}, {at}) & 63 as int))" for at in (40, 46, 52, 58)]
-        return (df.withColumn(hashed, F.xxhash64(*columns))
-                .withColumns({slot: F.pmod(hashed, F.lit(slots)), mask: F.expr(" | ".join(bits))}).drop(hashed))
-
-    words = placed(keys, [F.col(c) for c in keys.columns]).groupBy(slot).agg(F.bit_or(mask).alias(word))
-    marked = placed(rows, own).join(F.broadcast(words), slot, "left")
-    maybe = F.coalesce(F.col(word).bitwiseAND(F.col(mask)) == F.col(mask), F.lit(False))
-    return marked.where(~maybe).select(*rows.columns), marked.where(maybe).select(*rows.columns)
-
-
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not among ``gone`` (doc_id, text_sha256), with all their columns.
 
