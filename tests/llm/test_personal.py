@@ -72,3 +72,16 @@ def test_forms_no_base_pattern_matches(spark, share):
         at = [(k, many[i].index(x), many[i].index(x) + len(x)) for k, x in (("phone", number), ("email", address))]
         assert found[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in at), many[i]
     assert all(found[i].spans == "" for i in range(n, n + 60))
+
+
+def test_very_long_runs(spark):
+    """Patterns that repeat a group would recurse once a repetition; most texts here are a megabyte."""
+    n = 1_000_000
+    address = "a@b" + ".c" * (n // 2)
+    texts = {"1" * n: [], "1 " * (n // 2): [], "1-" * (n // 2) + "x": [], address: [f"email:0:{len(address)}"], "a" * n: [],
+             "a@" + "b" * n: [], "+" + "1" * n: [], "+1" + " (" * (n // 2): [], "." * n: [],
+             "x (at) y" + "(dot)z" * (n // 6): [], "1" + ".1" * 2_000: None, "a.b@c_d.e@f.g " * 400: None}
+    found = {r.doc_id: r for r in personal.span_digests(docs(spark, list(texts))).collect()}
+    for i, (text, want) in enumerate(texts.items()):
+        want = base_spans(text) if want is None else want
+        assert found[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), text[:20]

@@ -16,7 +16,8 @@ added. The trees are applied as column expressions.
 
 Edge cases: a null text is empty and has no spans; characters are counted as code points;
 repeated rows get a row each; a table without candidates adds nothing; an empty table gives
-no rows.
+no rows. A run of digits, separators or labels of any length is one match; candidates of one
+text are compared with its spans one by one, so thousands in one text take long.
 """
 
 from __future__ import annotations
@@ -32,15 +33,22 @@ from trendspark.scratch import cut
 
 # fixed values: kinds in their order, base patterns, what a candidate may look like, words that announce a kind
 KINDS = ("email", "ip", "card", "phone")
+# A separator between two characters that it may join is written as JOINT before the search
+# (one character for one), so that a run of any length is a run of one class: the engine
+# recurses into each repetition of a group and would run out of stack on a long text.
+JOINT = "\u0003"
+JOINTS = {"email": (r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", "."), "card": (r"(?<=[0-9])[ -](?=[0-9])", " ")}
+_LOCAL = rf"(?:(?<![A-Za-z0-9._%+{JOINT}-])|\G)[A-Za-z0-9._%+{JOINT}-]++"
+_LABELS = rf"[A-Za-z0-9-]++{JOINT}[A-Za-z0-9{JOINT}-]*+"
+_SPELLED = rf"(?: ?[(\[](?i:dot)[)\]] ?[A-Za-z0-9{JOINT}-]++)"
 BASE = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": rf"{_LOCAL}@{_LABELS}",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]+){3}",
-    "card": r"[0-9](?:[ -]?[0-9])+",
+    "card": rf"[0-9][0-9{JOINT}]++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-PROPOSED = {
-    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?:@| ?[(\[](?i:at)[)\]] ?)[A-Za-z0-9-]+"
-             r"(?:(?:\.| ?[(\[](?i:dot)[)\]] ?)[A-Za-z0-9-]+)+",
+PROPOSED = {  # no address is spelled with a hundred dots
+    "email": rf"{_LOCAL}(?:@| ?[(\[](?i:at)[)\]] ?)(?:{_LABELS}{_SPELLED}{{0,100}}+|[A-Za-z0-9-]++{_SPELLED}{{1,100}}+)",
     "ip": r"(?<![0-9])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
@@ -60,15 +68,19 @@ TARGET = 0.95
 LEAST = 20  # candidates that a threshold must rest on
 
 
-def located(docs: DataFrame, name: str, pattern: str, there: Column) -> DataFrame:
+def located(docs: DataFrame, name: str, pattern: str, there: Column, joint: tuple[str, str] | None = None) -> DataFrame:
     """Adds ``name``: array of (first, last, found, before, after) of all matches, code points, last exclusive.
 
+    ``joint`` is what to write as JOINT before the search, and what stands for it afterwards.
+
     The text is split at marks around the matches. Lengths are summed over blocks of STEP
     pieces and then within a block, so many matches in one text stay cheap. Each helper
     column is named more than once in the next step, which keeps Spark from inlining it.
     """
     pieces, size, blocks, before = (F.col(f"_{x}") for x in ("pieces", "size", "blocks", "before"))
-    marked = F.regexp_replace("text", f"({pattern})", f"{MARK}$1{MARK}")
+    text = F.regexp_replace("text", joint[0], JOINT) if joint else F.col("text")
+    plain = (lambda c: F.translate(c, JOINT, joint[1])) if joint else (lambda c: c)
+    marked = F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}")
     zero, n = F.lit(0).cast("long"), F.size(pieces)
     add = lambda total, x: total + x
     block = lambda k: F.floor((2 * k + 1) / F.lit(STEP)).cast("int")
@@ -78,8 +90,9 @@ def located(docs: DataFrame, name: str, pattern: str, there: Column) -> DataFram
         within = F.aggregate(F.slice(size, b * STEP + 1, at - b * STEP), zero, add)
         first = F.get(before, b) + within
         return F.struct(first.alias("first"), (F.get(before, b) + within + F.get(size, at)).alias("last"),
-                        F.get(pieces, at).alias("found"), F.right(F.get(pieces, at - 1), F.lit(AROUND)).alias("before"),
-                        F.left(F.get(pieces, at + 1), F.lit(1)).alias("after"))
+                        plain(F.get(pieces, at)).alias("found"),
+                        plain(F.right(F.get(pieces, at - 1), F.lit(AROUND))).alias("before"),
+                        plain(F.left(F.get(pieces, at + 1), F.lit(1))).alias("after"))
 
     docs = docs.withColumn("_pieces", F.when(there, F.split(marked, MARK)).otherwise(F.array("text")))
     docs = docs.withColumn("_size", F.transform(pieces, lambda p: F.length(p).cast("long")))
@@ -145,7 +158,7 @@ def vote(kind: str, x: Column) -> tuple[Column, Column]:
 
 def detected(docs: DataFrame) -> DataFrame:
     """(doc_id, base, proposed): arrays of base spans and of candidates of each document."""
-    docs = docs.select("doc_id", F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK, STAND_IN).alias("text"))
+    docs = docs.select("doc_id", F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), MARK + JOINT, STAND_IN * 2).alias("text"))
     docs = docs.withColumn("_digit", F.col("text").rlike("[0-9]")).withColumn("_at", F.col("text").rlike(r"@|[(\[](?i:at)[)\]]"))
     for i, kind in enumerate(KINDS):
         docs = with_kind(docs, i, kind, F.col("_at") if kind == "email" else F.col("_digit"))
@@ -156,13 +169,13 @@ def detected(docs: DataFrame) -> DataFrame:
 def with_kind(docs: DataFrame, i: int, kind: str, there: Column) -> DataFrame:
     """Adds the base spans and the candidates of one kind."""
     placed = lambda s: [s["first"].alias("first"), F.lit(i).alias("kind"), s["last"].alias("last")]
-    docs = located(docs, f"_all_{kind}", BASE[kind], there)
+    docs = located(docs, f"_all_{kind}", BASE[kind], there, JOINTS.get(kind))
     docs = docs.withColumn(f"_{kind}", F.transform(F.filter(f"_all_{kind}", lambda s: valid(kind, s["found"])),
                                                    lambda s: F.struct(*placed(s))))
     # failed matches: a candidate inside a longer one was run over, so the pattern says nothing about it
     failed = F.filter(f"_all_{kind}", lambda s: ~valid(kind, s["found"]))
     docs = docs.withColumn(f"_failed_{kind}", F.transform(failed, lambda s: F.struct(*placed(s)))).drop(f"_all_{kind}")
-    docs = located(docs, f"_more_{kind}", PROPOSED[kind], there)
+    docs = located(docs, f"_more_{kind}", PROPOSED[kind], there, JOINTS["email"] if kind == "email" else None)
 
     def run_over(s: Column) -> Column:
         return F.exists(f"_failed_{kind}", lambda f: (f["first"] <= s["first"]) & (s["last"] <= f["last"])
