@@ -17,7 +17,6 @@ are packed each. An empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,7 +41,7 @@ PARTITION_BITS = 40
 
 # Where splitting at white space could differ from the tokenizer: its special strings, and
 # the separators that Python counts as white space and the tokenizer does not.
-_UNSAFE = re.compile("<\\||[\x1c-\x1f]")
+_UNSAFE = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class WordTokenizer:
@@ -83,27 +82,33 @@ class WordTokenizer:
         """Make sure that all words are known."""
         if len(self.known) > CACHED_WORDS:
             self.known, self.older = {}, self.known
-        new, parts = [], []
-        for word in words.difference(self.known):
-            if word in self.older:
-                self.known[word] = self.older[word]
+        words = words.difference(self.known)
+        if self.older:
+            again = words.intersection(self.older)
+            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            words -= again
+        new, marked, stems = set(), [], []
+        for word in words:
+            if word.isalpha():
+                new.add(word)
                 continue
             stem = word.rstrip(MARKS)
             if stem.isalpha():
-                parts.append((word, stem, word[len(stem):]))
-                if stem not in self.known:
-                    new.append(stem)
+                marked.append(word)
+                stems.append(stem)
             else:
                 self.known[word] = self.encoded(word)
-        self.learn(sorted(set(new)))
-        for word, stem, marks in parts:
-            if marks:
-                if marks not in self.known:
-                    self.known[marks] = self.encoded(marks)
-                self.known[word] = self.known[stem] + self.known[marks]
+        new.update(stems)
+        self.learn(list(new.difference(self.known)))
+        known = self.known
+        for word, stem in zip(marked, stems, strict=True):
+            marks = word[len(stem):]
+            if marks not in known:
+                known[marks] = self.encoded(marks)
+            known[word] = known[stem] + known[marks]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        plain = [None if _UNSAFE.search(text) else text.split() for text in texts]
+        plain = [None if any(map(text.__contains__, _UNSAFE)) else text.split() for text in texts]
         self.look_up(set().union(*(words for words in plain if words)))
         get = self.known.__getitem__
         return [self.encoded(text) if words is None else b"".join(map(get, words))
