@@ -122,3 +122,11 @@ def test_fingerprints_depend_on_words_only(n):
     one, two = c.fingerprints(h, n, np.uint64(9)), c.fingerprints(np.concatenate((h[20:], h)), n, np.uint64(9))
     assert (one == two[30:]).all() and len(set(one.tolist())) == len(one)
     assert len(c.fingerprints(h[:0], n, np.uint64(9))) == 0
+
+
+def test_pointers_are_packed():
+    places, counts, n = np.array([0, 2**32 - 1, 7]), np.array([1, 2**31, 300]), np.array([1, 3, 2])
+    data = c.packed_pointers(places, counts, n)
+    assert len(data) == 30
+    for got, want in zip(c.from_pointers(data), (places, counts, n), strict=True):
+        assert got.tolist() == want.tolist()

@@ -153,8 +153,12 @@ def fingerprints(hashed: np.ndarray, n: int, lang: np.uint64) -> np.ndarray:
     count = max(0, len(hashed) - n + 1)
     power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(hashed), _BASE))))
     prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashed * power[:-1])))
-    back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(0, count - 1), _INVERSE))))[:count]
-    return words.mix((prefix[n:n + count] - prefix[:count]) * back + lang + np.uint64(n))
+    del power
+    found = prefix[n:n + count] - prefix[:count]
+    del prefix
+    found *= np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(0, count - 1), _INVERSE))))[:count]
+    found += lang + np.uint64(n)
+    return words.mix(found)
 
 
 def entries(data: np.ndarray, lang: str, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -171,6 +175,7 @@ def entries(data: np.ndarray, lang: str, longest: int) -> Iterator[tuple[np.ndar
         found = fingerprints(hashed, n, salt)[inside]
         order = np.argsort(found)
         found, first = found[order], inside[order]
+        del order, inside
         new = np.concatenate(([True], found[1:] != found[:-1])) if len(found) else np.zeros(0, bool)
         begin = np.flatnonzero(new)
         like = first[begin][np.cumsum(new) - 1] if len(found) else first
@@ -182,7 +187,7 @@ def entries(data: np.ndarray, lang: str, longest: int) -> Iterator[tuple[np.ndar
             for k in range(n):
                 new[1:] |= number[first[1:] + k] != number[first[:-1] + k]
             begin = np.flatnonzero(new)
-        yield found[begin], starts[first[begin]], np.diff(np.append(begin, len(found)))
+        yield found[begin], starts[first[begin]].astype(np.uint32), np.diff(np.append(begin, len(found))).astype(np.int32)
 
 
 def packed_entries(chunks: DataFrame, longest: int, bits: int) -> DataFrame:
@@ -194,7 +199,7 @@ def packed_entries(chunks: DataFrame, longest: int, bits: int) -> DataFrame:
             for i, lang, data in _bodies(batch):
                 found = list(entries(data, lang, longest))
                 cuts = [np.concatenate(([0], np.searchsorted(p, bounds), [len(p)])) for p, _, _ in found]
-                out = []
+                out, held = [], 0
                 for part in range(1 << bits):
                     own = [slice(c[part], c[part + 1]) for c in cuts]
                     sizes = [s.stop - s.start for s in own]
@@ -208,7 +213,12 @@ def packed_entries(chunks: DataFrame, longest: int, bits: int) -> DataFrame:
                                 "places": planes(places, "<u4"),
                                 "counts": np.minimum(counts, 255).astype(np.uint8).tobytes(),
                                 "large": counts[counts >= 255].astype(np.int64).tobytes()})
-                yield pa.RecordBatch.from_pylist(out, schema=_schema())
+                    held += len(prints)
+                    if held > PIECE:
+                        yield pa.RecordBatch.from_pylist(out, schema=_schema())
+                        out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=_schema())
 
     return chunks.drop("n_words").mapInArrow(run, _ENTRIES)
 
@@ -218,6 +228,17 @@ def _schema() -> pa.Schema:
                       ("prints", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("large", pa.binary())])
 
 
+def packed_pointers(places: np.ndarray, counts: np.ndarray, n: np.ndarray) -> bytes:
+    """Pointers of ten bytes; a chunk has fewer than 2**32 bytes, so counts fit as well as places."""
+    return places.astype("<u4").tobytes() + counts.astype("<u4").tobytes() + n.astype("<u2").tobytes()
+
+
+def from_pointers(data: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, counts, n) of packed pointers."""
+    k = len(data) // 10
+    return tuple(np.frombuffer(data, kind, k, at * k) for kind, at in (("<u4", 0), ("<u4", 4), ("<u2", 8)))
+
+
 def frequent_pointers(packed: DataFrame, bits: int, fewest: int) -> DataFrame:
     """(chunk_id, pointers): places, sizes and counts of the chunk's entries whose fingerprints are frequent."""
 
@@ -237,7 +258,7 @@ def frequent_pointers(packed: DataFrame, bits: int, fewest: int) -> DataFrame:
             if len(some):
                 n = np.repeat(np.arange(1, len(sizes) + 1), sizes)
                 ids.append(chunk)
-                pointers.append(np.stack((places[some], n[some], count[some])).astype(np.int64).tobytes())
+                pointers.append(packed_pointers(places[some], count[some], n[some]))
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pointers, pa.binary())],
                                              ["chunk_id", "pointers"])
@@ -278,15 +299,16 @@ def phrases(chunks: DataFrame, pointers: DataFrame, fewest: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, lang, data in _bodies(batch):
-                parts = batch.column("wanted")[i].as_py()
-                place, n, times = np.concatenate([np.frombuffer(p, np.int64).reshape(3, -1) for p in parts], axis=1)
                 starts, ends, _ = words.spans(data, np.array([0, len(data)]), WORD)
-                for low in range(0, len(place), PIECE // 4):
-                    own = slice(low, low + PIECE // 4)
-                    text = _joined(data, starts, ends, np.searchsorted(starts, place[own]), n[own])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(text)), pa.array(n[own], pa.int32()), text, pa.array(times[own])],
-                        ["lang", "words", "phrase", "times"])
+                for part in batch.column("wanted")[i].values:
+                    place, times, n = from_pointers(part.as_buffer())
+                    for low in range(0, len(place), PIECE // 4):
+                        own = slice(low, low + PIECE // 4)
+                        first, size = np.searchsorted(starts, place[own].astype(np.int64)), n[own].astype(np.int64)
+                        text = _joined(data, starts, ends, first, size)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([lang] * len(text)), pa.array(size, pa.int32()), text,
+                             pa.array(times[own].astype(np.int64))], ["lang", "words", "phrase", "times"])
 
     wanted = pointers.groupBy("chunk_id").agg(F.collect_list("pointers").alias("wanted"))
     return (chunks.drop("n_words").join(wanted, "chunk_id")
