@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trendspark import scratch
 from trendspark.operators import encode, represent
 from trendspark.plans import embed, ingest, train, trends
 from trendspark.schema import RAW_PAPERS
@@ -38,6 +39,36 @@ def test_streamed_ingest_is_replay_safe(spark, tmp_path):
     assert run("two") == first
 
 
+def test_stream_reads_the_store_once(spark, tmp_path, monkeypatch):
+    path, root, reads = str(tmp_path / "landing"), str(tmp_path / "store"), []
+    land(spark, records(["0v1"]), path)
+    stream_ingest.ingest_stream(spark, path, root, str(tmp_path / "one")).awaitTermination()
+    for day in range(1, 5):
+        land(spark, records([f"{day - 1}v1", f"{day}v1"], day), path)
+    read = store.PaperStore.papers
+
+    def papers(self):
+        reads.append(self)
+        return read(self)
+
+    monkeypatch.setattr(store.PaperStore, "papers", papers)
+    stream_ingest.ingest_stream(spark, path, root, str(tmp_path / "two"), files_per_batch=1).awaitTermination()
+    assert len(reads) == 2  # the last number and the ids, not twice a batch
+    repo = store.PaperStore(spark, root)
+    assert sorted(r.paper_id for r in read(repo).collect()) == [1, 2, 3, 4, 5]
+    assert sorted(r.arxiv_id for r in read(repo).collect()) == [f"{day}v1" for day in range(5)]
+
+
+def test_seen_ids_stay_in_few_tables(spark, tmp_path):
+    repo = store.PaperStore(spark, str(tmp_path))
+    seen = store.Seen(repo)
+    for n in range(9):
+        with scratch.scope() as own:
+            seen.add(spark.range(n, n + 1).select(F.concat("id", F.lit("v1")).alias("arxiv_id"), F.col("id").alias("paper_id")), own)
+    assert len(seen.tables) <= 4 and seen.top == 8
+    assert sorted(r.arxiv_id for r in seen.ids().collect()) == [f"{n}v1" for n in range(9)]
+
+
 def test_streamed_keywords_count_once(spark, tmp_path):
     path, root = str(tmp_path / "landing"), str(tmp_path / "kw")
     land(spark, records(["1v1"], cats=("A", "B")), path)
