@@ -52,3 +52,16 @@ def test_texts_are_not_shuffled(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     first = clear[:clear.index("SortMergeJoin")] if "SortMergeJoin" in clear else clear
     assert "hashpartitioning" not in first.split("BroadcastExchange")[0]
+
+
+def test_free_memory_is_handed_back_after_the_last_slice(monkeypatch):
+    import pyarrow as pa
+
+    from trendspark.llm import tables
+
+    released = []
+    monkeypatch.setattr(tables, "release", lambda: released.append(True))
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab", None, "c" * 9])], ["text"])
+    parts = tables.slices(iter([batch]), limit=4)
+    assert [bytes(data) for _, data, _ in parts] == [b"ab", b"c" * 9]
+    assert released == [True]
