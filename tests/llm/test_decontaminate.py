@@ -2,7 +2,10 @@ import hashlib
 import random
 import re
 
+import pyarrow.parquet as pq
+
 from tests.llm.helpers import docs, rows
+from trendspark import scratch
 from trendspark.llm import decontaminate
 
 WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -75,3 +78,25 @@ def test_stage_and_empty_tables(spark):
     assert kept.columns == table_of.columns and rows(kept, "doc_id") == [(1,), (2,)]
     assert decontaminate.contamination(docs(spark, []), items).count() == 0
     assert rows(decontaminate.contamination_digests(docs(spark, ["a"]), table(spark, [])), "doc_id", "n_hit") == [(0, 0)]
+
+
+def test_no_row_group_of_the_index_holds_many_blocks(spark, monkeypatch):
+    written = []
+
+    def kept(df, label, **how):
+        written.append(scratch.cut(df, label, **how))
+        return written[-1]
+
+    build = decontaminate.build_index
+    monkeypatch.setattr(scratch, "GROUP_BYTES", 1 << 10)
+    monkeypatch.setattr(decontaminate, "build_index", lambda docs: build(docs, block_words=1))
+    monkeypatch.setattr(decontaminate, "cut", kept)
+    text = " ".join(f"w{i}" for i in range(2000)) + " "
+    docs = spark.createDataFrame([(i, text * 250) for i in range(4)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([("a", "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14")], "item_id string, text string")
+    found = decontaminate.contamination(docs, items).collect()
+    assert [len(r.hits) for r in found] == [250] * 4
+    place = next(df for df in written if "positions" in df.columns).inputFiles()
+    files = [pq.ParquetFile(path.removeprefix("file:")) for path in place]
+    groups = [f.metadata.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert sum(groups) == 4 and max(groups) == 1

@@ -293,7 +293,7 @@ def _merged(hits):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, within: int = 0,
                   item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, n_words, hits, items): the stretches of every document that match the benchmark."""
-    index = cut(build_index(docs), "index")
+    index = cut(build_index(docs), "index", large_rows=True)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
                              F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
